@@ -29,7 +29,7 @@ def scored(spark, rows):
 @pytest.fixture(scope="module")
 def rows():
     r = random.Random(3)
-    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(3000)]
+    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(1000)] + [f"v{i}" for i in range(2000)]
     out = [(i, " ".join(r.choice(words) for _ in range(r.randrange(80)))) for i in range(400)]
     copies = [(400 + i, out[r.randrange(400)][1]) for i in range(100)]
     return out + copies + [(600, None), (601, ""), (602, " \n\t"), (603, "ÄB ab\x0bAB"), (604, "x" * 300000)]
