@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidewright.llm import op2_jaccard_join, op4_mixing, op5_lm_scoring, op7_sharding
+from tidewright.llm import op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join.query,
+    "op3_quality": op3_quality.query,
     "op4_mixing": op4_mixing.query,
     "op5_lm_scoring": op5_lm_scoring.query,
     "op7_sharding": op7_sharding.query,
