@@ -256,8 +256,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fr
 
 
 def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs across groups within a list, if the sketches of their sets allow for the threshold."""
-    rows = lists.join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    """Pairs across groups within a list, if the sketches of their sets allow for the threshold.
+
+    Lists of one first member are taken together, so that a pair that is in many of them, as near
+    copies are, is looked at once.
+    """
+    rows = lists.select(F.col("head").alias("key"), "node").distinct().join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = rows.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     cells = F.floor(F.col("n") / CELL) + 1
     rows = rows.join(mixed.select("key", "n"), "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
