@@ -25,6 +25,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Space and punctuation: what is not a letter, a digit or a byte of a non-ASCII character.
+BREAKS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -68,9 +70,9 @@ def runs(offs: np.ndarray, piece: int = PIECE) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = LOWER[data]
-    word = ~SPACE[x]
+    word = ~gaps[x]
     first = word.copy()
     first[1:] &= ~word[:-1]
     heads = offs[offs < len(data)]
@@ -86,27 +88,30 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[e] - sums[s]) * down[s]), np.searchsorted(s, offs)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows ``offs`` of ``data``, and where each row's words start."""
+def words(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows ``offs`` of ``data``, and where each row's words start.
+
+    ``gaps`` says which bytes part words.
+    """
     if len(data) <= 4 * PIECE or len(offs) > 2:
-        return _words(data, offs)
+        return _words(data, offs, gaps)
     parts, at = [], 0  # one very long text, cut at white space
     while at < len(data):
         end = min(len(data), at + PIECE)
-        while end < len(data) and not (gaps := np.flatnonzero(SPACE[data[end : end + PIECE]])[:1]).size:
+        while end < len(data) and not (gap := np.flatnonzero(gaps[data[end : end + PIECE]])[:1]).size:
             end = min(len(data), end + PIECE)
         if end < len(data):
-            end += int(gaps[0]) + 1
-        parts.append(_words(data[at:end], np.array([0, end - at]))[0])
+            end += int(gap[0]) + 1
+        parts.append(_words(data[at:end], np.array([0, end - at]), gaps)[0])
         at = end
     return np.concatenate(parts), np.array([0, sum(map(len, parts))])
 
 
-def each_run(column: pa.Array, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def each_run(column: pa.Array, piece: int = PIECE, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows i to j of a string column, with the hashes of their words and each row's start in these."""
     data, offs = bytes_of(column)
     for i, j in runs(offs, piece):
-        yield i, j, *words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        yield i, j, *words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], gaps)
 
 
 def packed(values: np.ndarray, shard: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
