@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidewright.llm import op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding, op8_decontamination
+from tidewright.llm import op10_line_dedup, op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding, op8_decontamination
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_lm_scoring": op5_lm_scoring.query,
     "op7_sharding": op7_sharding.query,
     "op8_decontamination": op8_decontamination.query,
+    "op10_line_dedup": op10_line_dedup.query,
 }
 
 ORACLE_SQL = {
