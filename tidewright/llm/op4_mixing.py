@@ -140,7 +140,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
 
 
 def _uses(slots: DataFrame) -> DataFrame:
-    return slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses"))
+    """Times that each block is taken. The hint keeps Spark from broadcasting what it takes for small:
+    its size estimate is that of the table of sources, before the slots are made."""
+    return slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("uses")).hint("merge")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
