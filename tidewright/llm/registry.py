@@ -1,8 +1,9 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidewright.llm import op10_line_dedup, op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding, op8_decontamination
+from tidewright.llm import op1_fixity, op10_line_dedup, op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding, op8_decontamination
 
 QUERIES = {
+    "op1_fixity": op1_fixity.query,
     "op2_jaccard_join": op2_jaccard_join.query,
     "op3_quality": op3_quality.query,
     "op4_mixing": op4_mixing.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_fixity": op1_fixity.SQL,
     "op7_sharding": op7_sharding.SQL,
 }
