@@ -1,4 +1,351 @@
-"""Registered queries and their DuckDB SQL."""
+"""Queries over the test tables, one for each group of operations, with DuckDB SQL for the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand in for collections: documents for a corpus, events for prayers, agenda and
+changelog, pages for feeds. Order is given as a column ``pos``. ``now`` is 2024-02-01 00:00 UTC.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions import dates as D
+from tidewright.functions import text as T
+from tidewright.operators import collections as C
+from tidewright.operators import corpus, feed, mutations
+from tidewright.sources.tables import table
+from tidewright.streaming import live
+
+NOW_MS = 1_706_745_600_000
+NEEDLE = "The on"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def longs(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+SEARCH = f"""
+with v as (select doc_id, i - 1 as verse, string_split(text, chr(10))[i] as line from documents, lateral (select unnest(range(1, len(string_split(text, chr(10))) + 1)) as i)),
+h as (select doc_id, verse::bigint as verse, line, row_number() over (order by doc_id, verse) as pos from v where contains(lower(line), lower('{NEEDLE}')))
+select doc_id, verse, line, pos, 'doc ' || doc_id || ' 1:' || (verse + 1) as label from h where pos <= 60
+"""
+
+
+def _verses(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return longs(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("verse", "line")), "verse")
+
+
+@query(SEARCH)
+def corpus_search(spark, d):
+    hits = corpus.search(_verses(spark, d), f"  {NEEDLE} ", "doc_id", "verse", text="line")
+    hits = hits.withColumn("label", corpus.reference(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.lit(0), F.col("verse")))
+    return C.positions(hits, F.col("doc_id"), F.col("verse"))
+
+
+@query("select doc_id, text as line, 0::bigint as verse from documents where false")
+def corpus_search_short(spark, d):
+    return corpus.search(_verses(spark, d), " on ", "doc_id", "verse", text="line")
+
+
+@query("""select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as chapter, text,
+ 'conv ' || conv_id || ' ' || row_number() over (partition by conv_id order by turn, role, text) || ':1' as label, count(*) over (partition by conv_id) as chapters from conversations""")
+def corpus_flatten(spark, d):
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    nested = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("book")).agg(F.transform(turns, lambda t: F.array(t["text"])).alias("chapters"))
+    nested = nested.withColumn("name", F.concat(F.lit("conv "), F.col("book").cast("string")))
+    flat = corpus.flattened(nested).join(nested.select("book", F.size("chapters").alias("chapters")), "book")
+    label = corpus.reference(F.col("name"), F.col("chapter"), F.col("verse"))
+    return longs(flat.select(F.col("book").alias("conv_id"), "chapter", "text", label.alias("label"), "chapters"), "chapter", "chapters")
+
+
+@query("select c_custkey, coalesce(n.n_name, c.c_name) as name, case when c_nationkey < 39 then 'AT' else 'NT' end as part from customer c left join (select * from nation where n_nationkey < 20) n on c_nationkey = n_nationkey")
+def lookup_fallback(spark, d):
+    names = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("book"), F.col("n_name").alias("name"))
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("book"), F.col("c_name").alias("name"))
+    return corpus.named(rows, names).select("c_custkey", "name", corpus.part_of(F.col("book")).alias("part"))
+
+
+@query("""with t as (select distinct conv_id, turn from conversations)
+select conv_id, turn, lag(conv_id) over w as prev_conv, lag(turn) over w as prev_turn, lead(conv_id) over w as next_conv, lead(turn) over w as next_turn,
+ lag(turn) over w is not null as has_prev, lead(turn) over w is not null as has_next, lead(turn) over w is null as is_last from t window w as (order by conv_id, turn)""")
+def nav_prev_next(spark, d):
+    # The last turn of the conversation before and the first of the next come from each
+    # conversation's ends, so that windows stay within a conversation and none takes all rows.
+    turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    ends = turns.groupBy("conv_id").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    near = corpus.neighbours(turns, "conv_id", "turn", within=("conv_id",)).join(_around(ends), "conv_id", "left")
+    prev, nxt = F.coalesce("prev", "before"), F.coalesce("next", "after")
+    return near.select(
+        "conv_id", "turn", prev["conv_id"].alias("prev_conv"), prev["turn"].alias("prev_turn"), nxt["conv_id"].alias("next_conv"), nxt["turn"].alias("next_turn"),
+        prev.isNotNull().alias("has_prev"), nxt.isNotNull().alias("has_next"), nxt.isNull().alias("is_last"),
+    )
+
+
+def _around(ends: DataFrame, wide: int = 1024) -> DataFrame:
+    """For each conversation the last turn of the one before and the first of the one after.
+
+    Ids are dealt into ranges; a range's outermost conversations find theirs in the neighbouring
+    ranges' ends.
+    """
+    ends = ends.withColumn("range", F.floor(F.col("conv_id") / wide))
+    edge = ends.groupBy("range").agg(
+        F.min(F.struct("conv_id", F.col("first").alias("turn"))).alias("head"), F.max(F.struct("conv_id", F.col("last").alias("turn"))).alias("tail")
+    )
+    w = C.Window.orderBy("range")  # one row for each 1,024 ids
+    edge = edge.select("range", F.lag("tail").over(w).alias("tail_before"), F.lead("head").over(w).alias("head_after"))
+    w = C.Window.partitionBy("range").orderBy("conv_id")
+    before = F.lag(F.struct("conv_id", F.col("last").alias("turn"))).over(w)
+    after = F.lead(F.struct("conv_id", F.col("first").alias("turn"))).over(w)
+    inner = ends.select("conv_id", "range", before.alias("before"), after.alias("after")).join(edge, "range")
+    return inner.select("conv_id", F.coalesce("before", "tail_before").alias("before"), F.coalesce("after", "head_after").alias("after"))
+
+
+@query("select event_id, row_number() over (partition by event_type order by ts desc, event_id desc) as pos, event_type from events")
+def feed_desc(spark, d):
+    return C.positions(table(spark, d, "events").select("event_id", "ts", "event_type"), F.desc("ts"), F.desc("event_id"), within=("event_type",)).drop("ts")
+
+
+def _agenda(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    date = F.concat(F.dayofmonth("ts").cast("string"), F.lit("/"), F.month("ts").cast("string"))
+    return e.select("event_id", "event_type", date.alias("date"))
+
+
+_AGENDA = "(select event_id, event_type, day(ts) || '/' || month(ts) as date from events)"
+
+
+@query(f"select event_id, date, row_number() over (partition by event_type order by date, event_id) as pos, lead(event_id) over (partition by event_type order by date, event_id) is null as is_last from {_AGENDA}")
+def agenda_text_order(spark, d):
+    order = (F.col("date"), F.col("event_id"))
+    rows = C.with_last(C.positions(_agenda(spark, d), *order, within=("event_type",)), *order, within=("event_type",))
+    return rows.select("event_id", "date", "pos", "is_last")
+
+
+@query(f"select event_id, date, row_number() over (partition by date order by event_id) as pos from {_AGENDA} where event_type = 'click'")
+def agenda_tab(spark, d):
+    rows = C.agenda_tab(_agenda(spark, d).withColumnRenamed("event_type", "type"), "click").select("event_id", "date")
+    return C.positions(rows, F.col("event_id"), within=("date",))
+
+
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in D.MONTHS) + "]"
+
+
+@query(f"select event_id, split_part(date, '/', 1) || ' de ' || ({_MONTHS})[split_part(date, '/', 2)::int] as label, split_part(date, '/', 1) || '/7' as moved, '9/' || split_part(date, '/', 2) as other_day from {_AGENDA}")
+def agenda_label(spark, d):
+    date = F.col("date")
+    return _agenda(spark, d).select("event_id", D.day_label(date).alias("label"), D.with_month(date, F.lit(7)).alias("moved"), D.with_day(date, F.lit(9), 2).alias("other_day"))
+
+
+@query("select d.doc_id, coalesce(quality, 0)::bigint as quality, coalesce(toxic, -1)::bigint as toxic from documents d left join labels l using (doc_id)")
+def defaults(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return longs(C.with_defaults(rows, quality=0, toxic=-1), "quality", "toxic")
+
+
+def _lists(spark, d) -> DataFrame:
+    """Per event type and day the sorted list of its users, as who prayed for a request."""
+    e = table(spark, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    users = F.transform(F.array_sort(F.collect_set("user_id")), lambda u: u.cast("string"))
+    return e.agg(users.alias("prayedBy"), F.min("user_id").cast("string").alias("authorId"))
+
+
+_LISTS = """(select event_type, strftime(ts, '%Y-%m-%d') as day, list_transform(list_sort(list(distinct user_id)), lambda u: u::varchar) as users, min(user_id)::varchar as author from events group by 1, 2)"""
+
+
+@query(f"""select event_type, day, list_contains(users, '7') as has_prayed, author = '7' as is_owner, len(users)::bigint as pray_count,
+ case when len(users) = 1 then '1 pessoa orando' else len(users) || ' pessoas orando' end as label from {_LISTS}""")
+def member_flags(spark, d):
+    rows = C.prayer_flags(_lists(spark, d), "7")
+    label = T.count_label(F.col("prayCount"), "pessoa orando", "pessoas orando")
+    return rows.select("event_type", "day", F.col("hasPrayed").alias("has_prayed"), F.col("isOwner").alias("is_owner"), F.col("prayCount").cast("long").alias("pray_count"), label.alias("label"))
+
+
+@query(f"""select event_type, day, array_to_string(case when list_contains(users, '7') then list_filter(users, lambda u: u <> '7') else list_append(users, '7') end, ',') as users from {_LISTS}""")
+def member_toggle(spark, d):
+    return _lists(spark, d).select("event_type", "day", F.array_join(T.toggled(F.col("prayedBy"), F.lit("7")), ",").alias("users"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_custkey = 7")
+def private_rows(spark, d):
+    return C.own(table(spark, d, "orders"), "7", owner="o_custkey").select("o_orderkey", "o_totalprice")
+
+
+@query("""select c_custkey, true as folded, c_name in ('customer#000000002', 'Customer#000000005') as exact from customer
+ where lower(c_name) in ('customer#000000002', 'customer#000000005', 'customer#000000009')""")
+def admin_semi(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name")
+    folded = C.admins(rows, ["customer#000000002", "customer#000000005", "customer#000000009"], "c_name")
+    exact = C.admins(rows, ["customer#000000002", "Customer#000000005"], "c_name", fold=False).select("c_custkey", F.lit(True).alias("exact"))
+    return folded.join(exact, "c_custkey", "left").select("c_custkey", F.lit(True).alias("folded"), F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
+def _decoded_sql(x: str) -> str:
+    for name, char in T.ENTITIES:
+        x = f"replace({x}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@query(f"select page_id, {_decoded_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} as title from pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", T.decoded(feed.first_group(F.col("html"), "<title>(.*?)</title>")).alias("title"))
+
+
+@query("""select page_id, (i - 1)::bigint as pos, m[i] as item from (select page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) as m from pages), lateral (select unnest(range(1, len(m) + 1)) as i) where m[i] <> ''""")
+def page_links(spark, d):
+    rows = feed.blocks(table(spark, d, "pages").select("page_id", "html"), "html", "<li>(.*?)</li>")
+    return longs(rows.where("block <> ''").select("page_id", "pos", F.col("block").alias("item")), "pos")
+
+
+@query("select 'empty' as variant, * from (values (1::bigint, 'a'), (2, 'b'), (3, 'c')) t(id, name) union all select 'live', page_id, url from pages")
+def fallback_if_empty(spark, d):
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"))
+    static = spark.sql("select * from values (1L, 'a'), (2L, 'b'), (3L, 'c') as t(id, name)")
+    empty = feed.first_source([pages.where("id < 0"), pages.where("id < -1")], static)
+    return empty.select(F.lit("empty").alias("variant"), "*").union(C.first_non_empty(pages, static).select(F.lit("live"), "*"))
+
+
+_DAYS = f"floor(({NOW_MS} - epoch_ms(ts)) / 86400000.0)::bigint"
+_RELATIVE = """case when d = 0 then 'Hoje' when d = 1 then 'Há 1 dia' when d < 7 then 'Há ' || d || ' dias' when d < 14 then 'Há 1 semana'
+ when d < 30 then 'Há ' || d // 7 || ' semanas' when d // 30 = 1 then 'Há 1 mês' when d // 30 < 12 then 'Há ' || d // 30 || ' meses'
+ when d // 30 // 12 = 1 then 'Há 1 ano' else 'Há ' || d // 30 // 12 || ' anos' end"""
+
+
+@query(f"""select 'e' as kind, event_id as id, {_RELATIVE} as label from (select event_id, {_DAYS} as d from events)
+ union all select 'o', o_orderkey, {_RELATIVE} from (select o_orderkey, {_DAYS.replace("(ts)", "(o_orderdate)")} as d from orders)""")
+def relative_time(spark, d):
+    e, o = table(spark, d, "events"), table(spark, d, "orders")
+    label = lambda c: D.relative_days(D.millis(F.col(c)), NOW_MS).alias("label")
+    return e.select(F.lit("e").alias("kind"), F.col("event_id").alias("id"), label("ts")).union(o.select(F.lit("o"), "o_orderkey", label("o_orderdate")))
+
+
+@query(f"""select event_id, case when m < 1 then 'agora' when m < 60 then m || 'min' when m < 1440 then m // 60 || 'h' else m // 1440 || 'd' end as label
+ from (select event_id, floor(({NOW_MS - 43200000} - epoch_ms(ts)) / 60000.0)::bigint as m from events)""")
+def time_ago(spark, d):
+    return table(spark, d, "events").select("event_id", D.time_ago(D.millis(F.col("ts")), NOW_MS - 43_200_000).alias("label"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%d/%m/%Y') as label, strftime(o_orderdate - interval 3 hour, '%d/%m/%Y') as west,
+ strftime(o_orderdate, '%d/%m/%Y') as from_iso from orders""")
+def format_date(spark, d):
+    ms = D.millis(F.col("o_orderdate"))
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, d, "orders").select("o_orderkey", D.date_of_ms(ms).alias("label"), D.date_of_ms(ms, "-03:00").alias("west"), D.published_date(iso).alias("from_iso"))
+
+
+@query("""select c_custkey, case when length(p) <= 2 then p when length(p) <= 7 then '(' || substr(p, 1, 2) || ') ' || substr(p, 3)
+ else '(' || substr(p, 1, 2) || ') ' || substr(p, 3, 5) || '-' || substr(p, 8, 4) end as phone, length(q) between 10 and 11 as valid
+ from (select c_custkey, left(q, 11) as p, q from (select c_custkey, (c_custkey * 7919 * c_custkey * c_custkey)::varchar as q from customer))""")
+def phone_format(spark, d):
+    raw = F.concat(F.lit("+ "), F.expr("cast(c_custkey * 7919 * c_custkey * c_custkey as string)"))
+    return table(spark, d, "customer").select("c_custkey", T.phone(raw).alias("phone"), T.phone_valid(raw).alias("valid"))
+
+
+@query("""select p_partkey, upper(case when len(w) >= 2 then left(w[1], 1) || left(w[len(w)], 1) else left(p_name, 2) end) as initials
+ from (select p_partkey, p_name, string_split(p_name, ' ') as w from part)""")
+def initials(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.initials(F.col("p_name")).alias("initials"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '/$', '') as shown from pages")
+def display_url(spark, d):
+    return table(spark, d, "pages").select("page_id", T.display_url(F.col("url")).alias("shown"))
+
+
+@query(r"""select s_suppkey, regexp_matches(trim(m), '^[^\s@]+@[^\s@]+\.[^\s@]+$') as ok from
+ (select s_suppkey, case s_suppkey % 3 when 0 then ' ' || s_name || '@mail.example ' when 1 then s_name || '@mail' else 'a b@' || s_name || '.c' end as m from supplier)""")
+def email_check(spark, d):
+    text = F.expr("case s_suppkey % 3 when 0 then ' ' || s_name || '@mail.example ' when 1 then s_name || '@mail' else 'a b@' || s_name || '.c' end")
+    return table(spark, d, "supplier").select("s_suppkey", T.email_ok(text).alias("ok"))
+
+
+@query("""select doc_id, coalesce(nullif(case when quality = 1 then 'p' || doc_id else '' end, ''), nullif(case when toxic = 1 then 't' || doc_id else '' end, '')) as preview,
+ coalesce(nullif(case when toxic = 1 then 'x' else '' end, ''), 'Anônimo') as author from labels""")
+def note_preview(spark, d):
+    when = lambda c, x: F.when(F.col(c) == 1, x).otherwise(F.lit(""))
+    tag = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string"))
+    preview = T.truthy_or(when("quality", tag("p")), F.nullif(when("toxic", tag("t")), F.lit("")))
+    return table(spark, d, "labels").select("doc_id", preview.alias("preview"), T.truthy_or(when("toxic", F.lit("x")), "Anônimo").alias("author"))
+
+
+@query("""select event_id, (k % 2 = 0) as dark, coalesce(case when k % 3 <> 0 then k end, 16)::double as size from (select event_id, (props->>'k')::bigint as k from events)""")
+def json_settings(spark, d):
+    k = F.from_json("props", "k bigint")["k"]
+    size = F.when(k % 3 != 0, k.cast("double"))
+    stored = F.to_json(F.struct((k % 2 == 0).alias("darkMode"), size.alias("fontSize")))  # a null field is left out
+    read = T.settings(stored)
+    return table(spark, d, "events").select("event_id", read["darkMode"].alias("dark"), read["fontSize"].alias("size"))
+
+
+@query("""select r_name, n_name, row_number() over w as pos, lead(n_name) over w is null as is_last from region join nation on r_regionkey = n_regionkey window w as (partition by r_regionkey order by n_nationkey)""")
+def sections_explode(spark, d):
+    nested = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("leaders"))
+    sections = table(spark, d, "region").join(nested, F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = sections.select("r_name", F.size("leaders").alias("n"), F.posexplode("leaders").alias("i", "leader"))
+    return rows.select("r_name", F.col("leader.n_name").alias("n_name"), (F.col("i") + 1).cast("long").alias("pos"), (F.col("i") == F.col("n") - 1).alias("is_last"))
+
+
+@query(f"select m.i as month, ({_MONTHS})[m.i] as name, d.i as day, d.i || '/' || m.i as date from range(1, 13) m(i), range(1, 32) d(i)")
+def day_grid(spark, d):
+    grid = spark.range(1, 13).select(F.col("id").alias("month"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(31).cast("long"))).alias("day"))
+    name = F.element_at(F.array(*[F.lit(m) for m in D.MONTHS]), F.col("month").cast("int"))
+    return grid.select("month", name.alias("name"), "day", F.concat("day", F.lit("/"), "month").alias("date"))
+
+
+@query("""with p as (select s_suppkey + 50 as k, 'new ' || s_suppkey as name from supplier)
+select coalesce(s_suppkey, k) as s_suppkey, coalesce(name, s_name) as s_name, s_acctbal from supplier full join p on s_suppkey = k""")
+def upsert_merge(spark, d):
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    patch = base.select((F.col("s_suppkey") + 50).alias("s_suppkey"), F.concat(F.lit("new "), F.col("s_suppkey").cast("string")).alias("s_name"))
+    return mutations.merged(base, patch, "s_suppkey")
+
+
+@query("select s_suppkey, s_name from supplier where s_suppkey not in (select s_suppkey from supplier where s_acctbal < 0)")
+def delete_rows(spark, d):
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return mutations.deleted(base, base.where("s_acctbal < 0"), "s_suppkey").select("s_suppkey", "s_name")
+
+
+@query("select s_suppkey, s_name, s_nationkey::bigint as s_nationkey from supplier union all select 1000001, 'Added', null")
+def insert_rows(spark, d):
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    return mutations.inserted(base, spark.sql("select 1000001L as s_suppkey, 'Added' as s_name"))
+
+
+@query("""select p_partkey, case when p_size < 32 then p_size + 1 else p_size end::bigint as up, case when p_size > 12 then p_size - 1 else p_size end::bigint as down from part""")
+def font_step(spark, d):
+    size = F.col("p_size")
+    return longs(table(spark, d, "part").select("p_partkey", T.stepped(size, 1).alias("up"), T.stepped(size, -1).alias("down")), "up", "down")
+
+
+@query("""select p_partkey, p_name as trimmed, true as name_filled, p_size > 25 as both_filled, true as any_filled from part""")
+def trim_blank(spark, d):
+    name = F.concat(F.lit(" \t "), F.col("p_name"), F.lit(" 　\n"))
+    size = F.when(F.col("p_size") > 25, "x").otherwise(F.lit("  "))
+    return table(spark, d, "part").select(
+        "p_partkey", T.trimmed(name).alias("trimmed"), T.filled(name).alias("name_filled"), T.all_filled(name, size).alias("both_filled"), T.any_filled(size, name).alias("any_filled")
+    )
+
+
+@query("""select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1 and event_type <> 'error'""")
+def live_snapshot(spark, d):
+    e = table(spark, d, "events")
+    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "user_id", "event_type", "event_id")
+    return live.latest(changes, "user_id")
