@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidewright.llm import op1_fixity, op10_line_dedup, op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op7_sharding, op8_decontamination, op9_embedding_dedup
+from tidewright.llm import op1_fixity, op10_line_dedup, op2_jaccard_join, op3_quality, op4_mixing, op5_lm_scoring, op6_substring_dedup, op7_sharding, op8_decontamination, op9_embedding_dedup
 
 QUERIES = {
     "op1_fixity": op1_fixity.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": op3_quality.query,
     "op4_mixing": op4_mixing.query,
     "op5_lm_scoring": op5_lm_scoring.query,
+    "op6_substring_dedup": op6_substring_dedup.query,
     "op7_sharding": op7_sharding.query,
     "op8_decontamination": op8_decontamination.query,
     "op9_embedding_dedup": op9_embedding_dedup.query,
