@@ -14,12 +14,13 @@ most H = (a + b)(1 - t)/(1 + t) shingles. From this both sides of the join follo
 * the boundary is where the cost of keys and of verifying what they bring is the same
   (``boundary``); sets up to 1/t above it also enumerate subsets, as partners of light ones.
 
-Every member of a list is then verified against the list's first member, which needs a number of
-pairs that is linear in the lists. Only where a list still holds more than one connected group
-are further pairs looked at: those across groups, cut into cells of bounded size, and only if
-the parity sketches of the two sets (a lower bound of the sets' difference) allow for the
-threshold. Links within a group that is known to be connected change no component, so the
-result is that of comparing all pairs.
+The parity sketches of two sets give a lower bound of the sets' difference, so a pair whose bound is
+above H is turned down before any text is moved. Every member of a list is compared with the
+list's first member, which needs a number of pairs that is linear in the lists, and verified by the
+shingles of both texts. Only where a list still holds more than one connected group are further
+pairs looked at: those across groups, cut into cells of bounded size, behind the sketches too.
+Links within a group that is known to be connected change no component, so the result is that of
+comparing all pairs.
 
 Defined results
 ---------------
@@ -170,43 +171,63 @@ class Keys:
         return mix(part * _C[2] + np.arange(m, dtype=np.uint64) * _C[3] + np.uint64(2 * level))
 
 
-LISTED = "shard int, keys binary, nodes binary, id long, node long, n_shingles long, sketch binary, row int"
+#: Bytes of a key that are sent to its shard, which follows from the others. Keys that agree in
+#: these only bring a pair that verification turns down.
+KEY_BYTES = 6
 
 
-def _listed(docs: DataFrame, k: int, t: Fraction, shards: int) -> DataFrame:
-    """Each text's node (row = 1), and packed postings of keys and nodes by shard (row = 0)."""
+def _nodes(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Node and set of each row of (id, text); no node without id or shingles."""
+    ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+    for r, s in shingle_sets(batch.column(1), k):
+        yield (node_of(s) if len(s) and ids[r] else None), s
+
+
+def _rows(docs: DataFrame, k: int) -> DataFrame:
+    """(id, node, n_shingles, sketch) of each row; sketches once for each node of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int | None] = {None}
+            out = []
+            for x, s in _nodes(batch, k):
+                out.append((x, len(s), None if x in seen else blob(sketch(s))))
+                seen.add(x)
+            cols = zip(*out, strict=True) if out else [[], [], []]
+            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.record_batch([batch.column(0), *arrays], names=["id", "node", "n_shingles", "sketch"])
+
+    return docs.mapInArrow(run, "id long, node long, n_shingles long, sketch binary")
+
+
+def _posted(docs: DataFrame, k: int, t: Fraction, shards: int) -> DataFrame:
+    """Packed postings by shard: nodes, how many keys each has there, and the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(t)
-        schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sketch", pa.binary()), ("row", pa.int32())])
         for batch in batches:
-            node, size, sk, posted, owner, seen = [], [], [], [], [], set()
-            ids = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for r, s in shingle_sets(batch.column(1), k):
-                x = node_of(s) if len(s) and ids[r] else None
-                node.append(x)
-                size.append(len(s))
-                fresh = x is not None and x not in seen
-                sk.append(blob(sketch(s)) if fresh else None)
-                if fresh:
-                    seen.add(x)
-                    posted.append(keys.of(s))
-                    owner.append(np.full(len(posted[-1]), x, np.int64))
-            n = len(node)
-            none = pa.nulls(n, pa.binary())
-            yield pa.record_batch([pa.nulls(n, pa.int32()), none, none, batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(sk, pa.binary()), pa.array(np.ones(n, np.int32))], schema=schema)
-            if posted:
-                both = np.stack([np.concatenate(posted).view(np.int64), np.concatenate(owner)], axis=1)
-                parts = list(packed(both, shard_of(both[:, 0].view(np.uint64), shards), shards))
-                n, lng = len(parts), pa.nulls(len(parts), pa.int64())
-                yield pa.record_batch([pa.array([p for p, _ in parts], pa.int32()), pa.array([blob(v[:, 0]) for _, v in parts], pa.binary()), pa.array([blob(v[:, 1]) for _, v in parts], pa.binary()), lng, lng, lng, pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32))], schema=schema)
-
-    return docs.mapInArrow(run, LISTED)
+            found = {x: keys.of(s) for x, s in _nodes(batch, k) if x is not None}
+            if not found:
+                continue
+            node = np.repeat(np.fromiter(found, np.int64, len(found)), [len(v) for v in found.values()])
+            key = np.concatenate(list(found.values()))
+            out = []
+            for shard, p in packed(np.arange(len(key)), shard_of(key, shards), shards):
+                first = np.flatnonzero(np.append(True, node[p][1:] != node[p][:-1]))
+                short = key[p].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                out.append((shard, blob(node[p][first]), blob(np.diff(np.append(first, len(p))).astype(np.int32)), blob(short)))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "nodes", "counts", "keys"])
+
+    return docs.mapInArrow(run, "shard int, nodes binary, counts binary, keys binary")
 
 
 def _met(group: pa.Table) -> pa.Table:
     """Of one shard's postings the lists of two nodes or more: key, node, first node."""
-    keys, nodes = joined(group.column("keys"), np.int64), joined(group.column("nodes"), np.int64)
+    nodes = np.repeat(joined(group.column("nodes"), np.int64), joined(group.column("counts"), np.int32))
+    keys = np.zeros((len(nodes), 8), np.uint8)
+    keys[:, :KEY_BYTES] = joined(group.column("keys"), np.uint8).reshape(-1, KEY_BYTES)
+    keys = keys.view(np.int64).ravel()
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
@@ -215,7 +236,28 @@ def _met(group: pa.Table) -> pa.Table:
     _, start, count = np.unique(keys, return_index=True, return_counts=True)
     many = np.repeat(count > 1, count)
     head = np.repeat(nodes[start], count)
-    return pa.table({"key": keys[many], "node": nodes[many], "head": head[many]})
+    out = np.unique(np.stack([head[many], nodes[many]]), axis=1)
+    return pa.table({"head": out[0], "node": out[1]})
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow for the threshold."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    bounds = Bounds(t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for na, sa, nb, sb in zip(*batch.columns[2:], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (sa, sb))
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+                ok.append(int(np.bitwise_count(x ^ y).sum()) <= bounds.differ(na.as_py() + nb.as_py()))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -224,27 +266,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fr
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node").select(F.col("rep").alias("id"), "node")
+    wanted = written(nodes.join(ends, "node").select(F.col("rep").alias("id"), "node"), "jaccard-wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(n.as_py(), s) for n, (_, s) in zip(batch.column(0), shingle_sets(batch.column(1), k), strict=True)]
-            found = [(n, blob(s)) for n, s in found if n == node_of(s)]  # else another text of the same id
-            yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["node", "shingles"])
+    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a row of the same id may have another text
+            yield batch.filter(pa.array([n.as_py() == x for n, (x, _) in zip(batch.column(0), _nodes(batch, k), strict=True)], pa.bool_()))
 
-    own = written(docs.join(wanted, "id").select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
-    # A node with many pairs is met in copies of its set, each with a bounded part of the pairs.
+    texts = docs.join(wanted, "id").select("node", "text").mapInArrow(own_text, "node long, text string")
+    own = written(texts.dropDuplicates(["node"]), "jaccard-texts")
+    # A node with many pairs is met in copies of its text, each with a bounded part of the pairs.
     spread = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / 256) + 1).alias("copies"))
-    left = spread.join(own, spread.a == own.node).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("sa"))
-    right = pairs.join(spread, "a").join(own.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = right.withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).join(left, ["a", "copy"]).select("a", "b", "sa", "sb")
+    left = spread.join(own, spread.a == own.node).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("text").alias("ta"))
+    right = pairs.join(spread, "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = right.withColumn("copy", F.pmod(F.xxhash64("b"), "copies")).join(left, ["a", "copy"]).select("a", "b", "ta", "tb")
     num, den = t.numerator, t.denominator
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for (_, x), (_, y) in zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True):
                 z = np.concatenate([x, y])
                 z.sort()
                 common = int((z[1:] == z[:-1]).sum())
@@ -261,7 +301,7 @@ def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, t: Fraction)
     Lists of one first member are taken together, so that a pair that is in many of them, as near
     copies are, is looked at once.
     """
-    rows = lists.select(F.col("head").alias("key"), "node").distinct().join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    rows = lists.withColumnRenamed("head", "key").join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     mixed = rows.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     cells = F.floor(F.col("n") / CELL) + 1
     rows = rows.join(mixed.select("key", "n"), "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
@@ -296,16 +336,13 @@ def jaccard_groups(docs: DataFrame, k: int, t: Fraction, key: str = "doc_id", te
     """One row per row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key linked), ``node``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    all_rows = written(_listed(docs, k, t, shards_of(spark)), "jaccard-listed")
-    rows = all_rows.where("row = 1").select("id", "node", "n_shingles")
-    nodes = written(
-        all_rows.where("row = 1 and node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")),
-        "jaccard-nodes",
-    )
-    posted = all_rows.where("row = 0").select("shard", "keys", "nodes")
-    lists = written(posted.groupBy("shard").applyInArrow(_met, "key long, node long, head long"), "jaccard-lists")
-    star = lists.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(star, nodes, docs, k, t)
+    rows = written(_rows(docs, k), "jaccard-rows")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    nodes = written(nodes, "jaccard-nodes")
+    met = _posted(docs, k, t, shards_of(spark, 1)).groupBy("shard").applyInArrow(_met, "head long, node long")
+    lists = written(met.distinct(), "jaccard-lists")
+    star = lists.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = _verified(_possible(star, nodes, t), nodes, docs, k, t)
     groups = written(components(links), "jaccard-groups")
     more = _verified(_across(lists, groups, nodes, t), nodes, docs, k, t)
     if not more.isEmpty():
@@ -313,7 +350,7 @@ def jaccard_groups(docs: DataFrame, k: int, t: Fraction, key: str = "doc_id", te
     smallest = nodes.join(groups, "node").groupBy("root").agg(F.min("rep").alias("least"))
     by_node = nodes.join(groups, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     return (
-        rows.join(by_node, "node", "left")
+        rows.drop("sketch").join(by_node, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
         .select(F.col("id").alias(key), "n_shingles", "component_id", "node")
     )

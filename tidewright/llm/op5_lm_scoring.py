@@ -257,8 +257,17 @@ class Model:
 
 def _slices(rows: DataFrame, shards: int) -> Filter:
     """The filter of slices that tasks have made; its size is bounded by ``MOST_BITS``."""
-    found = {r.shard: np.frombuffer(r.slice, np.uint64) for r in rows.collect()}
-    return Filter([found.get(k, np.zeros(1, np.uint64)) for k in range(shards)])
+    sizes = np.ones(shards, np.int64)
+    found = {}
+    for r in rows.toLocalIterator():  # a partition at a time
+        found[r.shard] = np.frombuffer(bytes(r.slice), np.uint64)
+        sizes[r.shard] = len(found[r.shard])
+    out = Filter([])
+    out.size, out.start = sizes.astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    out.words = np.zeros(out.start[-1], np.uint64)
+    for k in list(found):
+        out.words[out.start[k] : out.start[k + 1]] = found.pop(k)
+    return out
 
 
 def train(texts: DataFrame) -> Model:

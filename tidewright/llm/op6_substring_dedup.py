@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.shared import shards_of, written
 from tidewright.llm.suffixes import permuted_common_prefixes, prefix_hashes, substring_hashes, suffix_array
-from tidewright.llm.tokens import blob, bytes_of, joined, packed, runs, shard_of
+from tidewright.llm.tokens import VALUES, blob, bytes_of, joined, mix, packed, powers, runs, shard_of
 from tidewright.sources.tables import table
 
 #: Bytes of a string that counts as repeated, and of an anchor.
@@ -47,7 +47,9 @@ WIDTH = LENGTH + REACH
 #: Bits of the filter for each repeated anchor, and in all (128 MB).
 BITS, MOST_BITS = 12, 1 << 30
 #: Bytes of segments that are sorted at once, and strings that are looked at at once.
-SORTED, STEP = 1 << 21, 1 << 19
+SORTED, STEP = 1 << 19, 1 << 19
+#: Bytes of text whose anchors or segments a task holds at once.
+PORTION = 1 << 23
 NO_ID = (1 << 63) - 1
 OUT = 255  # outside of the document; in no UTF-8 text
 
@@ -83,13 +85,19 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, bytes, row starts) of parts of a batch of (id, text)."""
+    ids = _ids(batch.column(0))
+    data, offs = bytes_of(batch.column(1))
+    for i, j in runs(offs, PORTION):
+        yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+
+
 def _seen(shards: int):
     """Packed hashes of a batch's anchors by shard: those of one document, and those of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = _ids(batch.column(0))
-            data, offs = bytes_of(batch.column(1))
+        for ids, data, offs in (p for batch in batches for p in _portions(batch)):
             found = [(ids[row], h) for row, _, h in anchors(data, offs)]
             if not found:
                 continue
@@ -143,15 +151,19 @@ class Filter:
         return (self.words[self.start[own] + word] & mask) == mask
 
 
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    up = powers(rows.shape[1])[0][: rows.shape[1]]
+    return np.concatenate([np.zeros(0, np.uint64), *[mix((VALUES[rows[i : i + (1 << 13)]] * up).sum(axis=1)) for i in range(0, len(rows), 1 << 13)]])
+
+
 def _segments(shards: int, shared):
     """By shard: a batch's distinct segments, and where they are (segment, document, place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         around = np.arange(-REACH, LENGTH)
-        for batch in batches:
-            ids = _ids(batch.column(0))
-            data, offs = bytes_of(batch.column(1))
+        for ids, data, offs in (p for batch in batches for p in _portions(batch)):
             found = []
             for row, place, h in anchors(data, offs):
                 keep = known.has(h)
@@ -160,12 +172,12 @@ def _segments(shards: int, shared):
             if not len(row):
                 continue
             parts = []
-            for i in range(0, len(row), 1 << 16):
-                at = place[i : i + (1 << 16), None] + around
-                r = row[i : i + (1 << 16), None]
+            for i in range(0, len(row), 1 << 13):
+                at = place[i : i + (1 << 13), None] + around
+                r = row[i : i + (1 << 13), None]
                 parts.append(np.where((at >= offs[r]) & (at < offs[r + 1]), data[np.clip(at, 0, len(data) - 1)], OUT).astype(np.uint8))
             segment = np.concatenate(parts)
-            kinds, inv = np.unique(segment.view(f"V{WIDTH}").ravel(), return_inverse=True)
+            kinds, inv = np.unique(row_hashes(segment), return_inverse=True)
             first = np.zeros(len(kinds), np.int64)
             first[inv] = np.arange(len(inv))
             order = list(packed(np.arange(len(row)), shard_of(h, shards), shards))
@@ -181,11 +193,25 @@ def _segments(shards: int, shared):
 def first_owners(segments: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each string of each segment the smallest owner of a segment that has it; NO_ID where it leaves the document.
 
-    Segments with the same anchor must come together; they are sorted in parts of bounded size.
+    Segments with the same anchor must come together; they are sorted in parts of bounded size. An
+    anchor with one segment has each of its strings once, and needs no sorting.
     """
+    outside = np.zeros((len(segments), WIDTH + 1), np.int16)
+    np.cumsum(segments == OUT, axis=1, out=outside[:, 1:])
+    inside = outside[:, LENGTH:] == outside[:, : REACH + 1]
+    out = np.where(inside, owner[:, None], NO_ID)
+    anchor = row_hashes(segments[:, REACH:LENGTH])
+    new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    several = np.repeat(np.diff(np.append(new, len(segments))) > 1, np.diff(np.append(new, len(segments))))
+    rows = np.flatnonzero(several)
+    if len(rows):
+        out[rows] = _sorted_owners(segments[rows], owner[rows], inside[rows], anchor[rows])
+    return out
+
+
+def _sorted_owners(segments: np.ndarray, owner: np.ndarray, inside: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     out = np.full((len(segments), REACH + 1), NO_ID, np.int64)
-    anchor = np.ascontiguousarray(segments[:, REACH:LENGTH]).view(f"V{ANCHOR}").ravel()
-    new = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    new = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     bounds = np.append(new, len(segments))
     i = 0
     while i < len(bounds) - 1:
@@ -194,11 +220,10 @@ def first_owners(segments: np.ndarray, owner: np.ndarray) -> np.ndarray:
         i = j
         m = hi - lo
         text = np.full((m, WIDTH + 1), OUT, np.uint8)
-        inside = segments[lo:hi] != OUT
-        text[:, :WIDTH][inside] = segments[lo:hi][inside] + 1
-        left = np.cumsum(np.pad(~inside, ((0, 0), (1, 0))), axis=1)
+        own = segments[lo:hi]
+        text[:, :WIDTH] = np.where(own == OUT, OUT, own + np.uint8(1))
         valid = np.zeros((m, WIDTH + 1), bool)
-        valid[:, : REACH + 1] = left[:, LENGTH:] == left[:, : REACH + 1]
+        valid[:, : REACH + 1] = inside[lo:hi]
         flat = np.append(text.ravel(), 0).astype(np.uint8)
         sa = suffix_array(flat, LENGTH)
         sa = sa[np.append(valid.ravel(), False)[sa]].astype(np.int64)
@@ -227,11 +252,14 @@ def _spans(group: pa.Table) -> pa.Table:
     which = joined(group.column("which"), np.int32).astype(np.int64) + np.repeat(base[:-1], counts)
     doc, place = joined(group.column("doc"), np.int64), joined(group.column("place"), np.int64)
     segments = joined(group.column("segments"), np.uint8).reshape(-1, WIDTH)
-    # Equal segments of different batches as one, in order of anchor.
-    turned = np.concatenate([segments[:, REACH:LENGTH], segments[:, :REACH], segments[:, LENGTH:]], axis=1)
-    kinds, first, inv = np.unique(np.ascontiguousarray(turned).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+    # Equal segments of different batches as one, those of an anchor together.
+    a, h = row_hashes(segments[:, REACH:LENGTH]), row_hashes(segments)
+    order = np.lexsort((h, a))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1]))
+    first, inv = order[new], np.zeros(len(order), np.int64)
+    inv[order] = np.cumsum(new) - 1
     which = inv[which]
-    owner = np.full(len(kinds), NO_ID, np.int64)
+    owner = np.full(len(first), NO_ID, np.int64)
     np.minimum.at(owner, which, doc)
     least = first_owners(segments[first], owner)
     pieces = []
