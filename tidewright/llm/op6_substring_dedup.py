@@ -157,8 +157,20 @@ def row_hashes(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *[mix((VALUES[rows[i : i + (1 << 13)]] * up).sum(axis=1)) for i in range(0, len(rows), 1 << 13)]])
 
 
+def chains(kind: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of equal segments of a row that follow within LENGTH bytes.
+
+    What is removed of one of them is LENGTH bytes or more, so what is removed of all is one span:
+    text that repeats one word gives a few runs instead of a segment for each word.
+    """
+    order = np.lexsort((place, row, kind))
+    k, r, p = kind[order], row[order], place[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (p[1:] - p[:-1] > LENGTH))
+    return order[new], order[np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)]
+
+
 def _segments(shards: int, shared):
-    """By shard: a batch's distinct segments, and where they are (segment, document, place)."""
+    """By shard: a batch's distinct segments, and where they are (segment, document, place, how far runs reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -177,15 +189,20 @@ def _segments(shards: int, shared):
                 r = row[i : i + (1 << 13), None]
                 parts.append(np.where((at >= offs[r]) & (at < offs[r + 1]), data[np.clip(at, 0, len(data) - 1)], OUT).astype(np.uint8))
             segment = np.concatenate(parts)
+            del parts
             kinds, inv = np.unique(row_hashes(segment), return_inverse=True)
             first = np.zeros(len(kinds), np.int64)
             first[inv] = np.arange(len(inv))
-            order = list(packed(np.arange(len(row)), shard_of(h, shards), shards))
+            head, last = chains(inv, row, place)
+            row, start, h, inv = row[head], place[head], h[head], inv[head]
+            reach = (place[last] - start).astype(np.int32)
+            start = (start - offs[row]).astype(np.int32)
             out = []
-            for k, p in order:
+            for k, p in packed(np.arange(len(row)), shard_of(h, shards), shards):
                 local, at = np.unique(inv[p], return_inverse=True)
-                out.append((k, blob(segment[first[local]]), blob(at.astype(np.int32)), blob(ids[row[p]]), blob(place[p] - offs[row[p]])))
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["shard", "segments", "which", "doc", "place"])
+                out.append((k, blob(segment[first[local]]), blob(at.astype(np.int32)), blob(ids[row[p]]), blob(start[p]), blob(reach[p])))
+            del segment
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["shard", "segments", "which", "doc", "place", "reach"])
 
     return run
 
@@ -249,8 +266,8 @@ def _spans(group: pa.Table) -> pa.Table:
     per_row = [len(x.as_buffer()) // WIDTH for x in group.column("segments").combine_chunks()]
     base = np.concatenate([[0], np.cumsum(per_row)])
     counts = [len(x.as_buffer()) // 4 for x in group.column("which").combine_chunks()]
-    which = joined(group.column("which"), np.int32).astype(np.int64) + np.repeat(base[:-1], counts)
-    doc, place = joined(group.column("doc"), np.int64), joined(group.column("place"), np.int64)
+    which = joined(group.column("which"), np.int32) + np.repeat(base[:-1], counts)
+    doc, place, reach = joined(group.column("doc"), np.int64), joined(group.column("place"), np.int32), joined(group.column("reach"), np.int32)
     segments = joined(group.column("segments"), np.uint8).reshape(-1, WIDTH)
     # Equal segments of different batches as one, those of an anchor together.
     a, h = row_hashes(segments[:, REACH:LENGTH]), row_hashes(segments)
@@ -264,21 +281,23 @@ def _spans(group: pa.Table) -> pa.Table:
     least = first_owners(segments[first], owner)
     pieces = []
     for i in range(0, len(which), 1 << 17):
-        gone = least[which[i : i + (1 << 17)]] < doc[i : i + (1 << 17), None]
-        k, s = np.nonzero(gone)
-        pieces.append(np.stack([doc[i + k], place[i + k] - REACH + s]))
-    d, start = np.concatenate(pieces, axis=1)
-    order = np.lexsort((start, d))
-    d, start = d[order], start[order]
+        gone = np.pad(least[which[i : i + (1 << 17)]] < doc[i : i + (1 << 17), None], ((0, 0), (1, 1)))
+        k, s = np.nonzero(gone[:, 1:-1] & ~gone[:, :-2])  # runs of strings as one span each
+        e = np.nonzero(gone[:, 1:-1] & ~gone[:, 2:])[1]
+        at = i + k
+        pieces.append(np.stack([doc[at], place[at] - REACH + s, place[at] + reach[at] - REACH + e + LENGTH]))
+    d, start, stop = np.concatenate(pieces, axis=1)
+    order = np.argsort(d, kind="stable")
+    d, start, stop = d[order], start[order], stop[order]
     docs, at = np.unique(d, return_index=True)
-    spans = [merged(x, x + LENGTH) for x in np.split(start, at[1:])] if len(docs) else []
+    spans = [merged(x, y) for x, y in zip(np.split(start, at[1:]), np.split(stop, at[1:]), strict=True)] if len(docs) else []
     return pa.table({"of": pa.array(docs, pa.int64()), "start": pa.array([blob(a) for a, _ in spans], pa.binary()), "stop": pa.array([blob(b) for _, b in spans], pa.binary())})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(of, starts, stops): packed spans of bytes to remove, as the shards found them, of each document that has any."""
     spark = docs.sparkSession
-    shards = shards_of(spark, 4)
+    shards = shards_of(spark, 8)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
     seen = docs.mapInArrow(_seen(shards), "shard int, h binary, many binary")
     again = written(seen.groupBy("shard").applyInArrow(_repeated, "shard int, h binary, n long"), "substrings-anchors")
@@ -292,7 +311,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     made = {r.shard: np.frombuffer(r.slice, np.uint64) for r in again.select("shard", "h").mapInArrow(slices, "shard int, slice binary").collect()}
     shared = spark.sparkContext.broadcast(Filter([made.get(k, np.zeros(1, np.uint64)) for k in range(shards)]))
-    segments = docs.mapInArrow(_segments(shards, shared), "shard int, segments binary, which binary, doc binary, place binary")
+    segments = docs.mapInArrow(_segments(shards, shared), "shard int, segments binary, which binary, doc binary, place binary, reach binary")
     spans = segments.groupBy("shard").applyInArrow(_spans, "of long, start binary, stop binary")
     return written(spans.groupBy("of").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "substrings-spans")
 
