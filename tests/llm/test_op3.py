@@ -88,3 +88,18 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], LABELS)
     assert [x.keep for x in q.classify(docs, none).collect()] == [True]
     assert q.classify(docs.limit(0), none).count() == 0
+
+
+def test_toxic_text_is_not_trusted_and_goes(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randrange(2, 8))) for _ in range(200)]
+    prose = lambda: r.choices(words, k=80)
+    clean = [(i, " ".join(prose()), "en") for i in range(200)]
+    toxic = [(1000 + i, " ".join([*prose(), r.choice(["You idiot!", "STUPID scum.", "stupid idiot"])]), "en") for i in range(40)]
+    docs = spark.createDataFrame(clean + toxic, DOCS)
+    labels = [(i, 1, 0) for i in range(100)] + [(1000 + i, 1, 1) for i in range(20)] + [(1000, 1, 0)]
+    out = q.classify(docs, spark.createDataFrame(labels, LABELS + ", toxic int")).collect()
+    keep = {x.doc_id: x.keep for x in out}
+    assert len(out) == len(keep) == 240
+    assert not any(keep[i] for i, _, _ in toxic)
+    assert sum(keep[i] for i, _, _ in clean) >= 190

@@ -14,16 +14,22 @@ with h' the context less its first byte, counts below the top order being number
 bytes in front, and a uniform distribution over 256 bytes at the bottom.
 
 A document is rejected if its perplexity is above that of the quantile ``QUANTILE`` of the trusted
-documents of its language, times ``SLACK``.
+documents of its language, times ``SLACK``. It is also rejected if it is toxic: a few words tell, and
+are lost in a perplexity over all of them, so it is as toxic as its most telling word. A word tells
+by the likelihood ratio (G2) of being in toxic-labelled and in trusted documents, if it is in a larger
+share of the toxic ones; what is above the quantile ``QUANTILE`` of trusted documents is toxic.
 
 Defined results
 ---------------
 * the model learns from at most ``TRAIN_DOCS`` trusted documents, those of the smallest hash;
-  thresholds come from all trusted documents.
+  thresholds come from all trusted documents. Words are counted in these and in at most as many
+  toxic ones.
+* trusted is quality 1 and not toxic; a document with several labels is toxic if one is. Labels
+  without a column ``toxic`` have no toxic documents, and then, or without trusted ones, none is found.
 * null or empty text has no perplexity and is kept. A null language is a language of its own;
   a language without trusted documents takes the quantile over all languages. Without any
   trusted document nothing is rejected.
-* repeated rows get the same score each; a document with several labels is trusted if one is 1.
+* repeated rows get the same score each; a document with several labels has quality 1 if one has.
 """
 
 from __future__ import annotations
@@ -148,16 +154,53 @@ def _key(text: str = "text"):
     return F.xxhash64(text, F.lit(SEED))
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    """(key, word) of the distinct words, as hashes, of ``texts`` (key, text): lower case, letters and digits."""
+    words = F.array_remove(F.split(F.lower("text"), "[\\x00-/:-`{-\\x7F]+"), "")
+    return texts.select("key", F.explode(F.array_distinct(words)).alias("word")).select("key", F.xxhash64("word").alias("word"))
+
+
+def telling_words(toxic: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(word, tells) of words that a larger share of texts ``toxic`` than of ``trusted``, both (key, text), has."""
+    n_toxic, n_trusted = toxic.count(), trusted.count()
+    each = _words(toxic).withColumn("x", F.lit(1)).unionByName(_words(trusted).withColumn("x", F.lit(0)))
+    counts = each.groupBy("word").agg(F.sum("x").alias("a"), F.sum(1 - F.col("x")).alias("b")).where(F.col("a") * n_trusted > F.col("b") * n_toxic)
+    a, b, n = F.col("a"), F.col("b"), n_toxic + n_trusted
+    cells = [(a, (a + b) * n_toxic / n), (b, (a + b) * n_trusted / n), (n_toxic - a, (n - a - b) * n_toxic / n), (n_trusted - b, (n - a - b) * n_trusted / n)]
+    tells = sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0)) * 2
+    return written(counts.select("word", tells.alias("tells")), "quality-words")
+
+
+def toxicities(texts: DataFrame, telling: DataFrame) -> DataFrame:
+    """(key, toxicity) of each text of ``texts`` (key, text) that has a telling word."""
+    return _words(texts).join(_side(telling), "word").groupBy("key").agg(F.max("tells").alias("toxicity"))
+
+
+def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFrame, docs: int, quantile: float) -> DataFrame | None:
+    """(key) of toxic texts of ``keyed`` (key, text); None if labels show none. ``bad``, ``trusted`` and ``first`` are keys."""
+    some = written(bad.orderBy(F.xxhash64("key"), "key").limit(docs), "quality-toxic-keys")
+    if some.isEmpty() or trusted.isEmpty():
+        return None
+    texts = lambda keys: written(keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]), "quality-labelled")
+    telling = telling_words(texts(some), texts(first))
+    scored = written(toxicities(keyed, telling), "quality-toxicities")
+    most = trusted.join(scored, "key", "left").agg(F.percentile_approx(F.coalesce("toxicity", F.lit(0.0)), quantile, 10_000)).first()[0]
+    return scored.where(F.col("toxicity") > most).select("key")
+
+
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, lang, key, perplexity, threshold, keep.
 
-    ``labels`` has doc_id and quality, 1 for trusted. ``key`` is a hash of the text; equal texts
-    are scored once.
+    ``labels`` has doc_id, quality (1 for good) and toxic (1 for toxic; may be absent). ``key`` is a
+    hash of the text; equal texts are scored once.
     """
     ids = written(docs.select("doc_id", "lang", F.when(F.octet_length("text") > 0, _key()).alias("key")), "quality-ids")
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good")).distinct()
-    trusted = ids.join(good, ids.doc_id == good.good, "left_semi").where("key is not null")
-    first = trusted.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(train_docs)
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(0)
+    labels = labels.groupBy(F.col("doc_id").alias("of")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(toxic == 1, F.lit(False))).alias("bad"))
+    labelled = ids.join(labels, ids.doc_id == labels.of).where("key is not null")
+    bad = written(labelled.where("bad").select("key").distinct(), "quality-bad")
+    trusted = labelled.where("good and not bad").join(bad, "key", "left_anti").select("doc_id", "lang", "key")
+    first = written(trusted.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(train_docs), "quality-first")
     keyed = docs.select(_key().alias("key"), "text").where("octet_length(text) > 0")
     model = train(keyed.join(first, "key", "left_semi").dropDuplicates(["key"]), order)
     scored = written(perplexities(keyed, model), "quality-scores")
@@ -170,6 +213,10 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
     out = ids.join(scored, "key", "left").join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")) * slack)
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    found = _toxic(keyed, bad, trusted, first, train_docs, quantile)
+    if found is not None:
+        out = out.join(found.withColumn("toxic", F.lit(True)), "key", "left")
+        keep = keep & F.col("toxic").isNull()
     return out.select("doc_id", "lang", "key", "perplexity", "threshold", keep.alias("keep"))
 
 
