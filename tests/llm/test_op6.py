@@ -70,3 +70,9 @@ def test_suffix_array_and_prefixes(alphabet):
             while n < 10 and max(x, y) + n < len(b) and b[x + n] == b[y + n]:
                 n += 1
             assert p[x] == n
+
+
+def test_rows_of_one_id_or_none_lose_their_own_bytes_only(spark):
+    a, b = ("".join(f"{c}{i} " for i in range(40)) for c in "xy")
+    rows = [(1, a), (2, b), (None, "front " * 3 + a), (None, b + "tail"), (None, "clean " + "".join(f"z{i} " for i in range(80))), (7, a + "end"), (7, "".join(f"q{i} " for i in range(80)) + b)]
+    assert got(spark, rows) == brute(rows)

@@ -12,7 +12,7 @@ these), and goes to the shard of its anchor's hash, with what is around the anch
    sorts its distinct segments' suffixes by induced sorting and computes permuted common prefixes:
    suffixes in a run of common prefixes of LENGTH bytes or more start with the same string, and
    the run's smallest document id says in which documents the string goes.
-3. Spans are gathered by document and cut out.
+3. Spans are gathered by row, a hash of id and text, and cut out.
 
 Reduced texts of names are ordered by doubling of ranks, where induced sorting would recurse: a
 segment is short, so a few rounds do.
@@ -20,7 +20,8 @@ segment is short, so a few rounds do.
 Defined results
 ---------------
 * null text is empty. Rows of one id are one document: they do not remove each other's bytes.
-  A null id counts as larger than any other, and null ids as one document.
+  A null id counts as larger than any other, and null ids as one document. Each row loses its own
+  spans only, whatever other rows of its id hold.
 * bytes are removed wherever they are, also inside a character; ``kept_sha256`` is over bytes.
 * an empty table gives an empty table; columns other than id and text are not read.
 """
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm.shared import shards_of, written
@@ -85,19 +86,19 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, row starts) of parts of a batch of (id, text)."""
-    ids = _ids(batch.column(0))
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, row keys, bytes, row starts) of parts of a batch of (id, text, row key)."""
+    ids, keys = _ids(batch.column(0)), batch.column(2).to_numpy()
     data, offs = bytes_of(batch.column(1))
     for i, j in runs(offs, PORTION):
-        yield ids[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        yield ids[i:j], keys[i:j], data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
 def _seen(shards: int):
     """Packed hashes of a batch's anchors by shard: those of one document, and those of several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offs in (p for batch in batches for p in _portions(batch)):
+        for ids, _, data, offs in (p for batch in batches for p in _portions(batch)):
             found = [(ids[row], h) for row, _, h in anchors(data, offs)]
             if not found:
                 continue
@@ -170,12 +171,12 @@ def chains(kind: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.nda
 
 
 def _segments(shards: int, shared):
-    """By shard: a batch's distinct segments, and where they are (segment, document, place, how far runs reach)."""
+    """By shard: a batch's distinct segments, and where they are (segment, document, row, place, how far runs reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         around = np.arange(-REACH, LENGTH)
-        for ids, data, offs in (p for batch in batches for p in _portions(batch)):
+        for ids, keys, data, offs in (p for batch in batches for p in _portions(batch)):
             found = []
             for row, place, h in anchors(data, offs):
                 keep = known.has(h)
@@ -200,9 +201,9 @@ def _segments(shards: int, shared):
             out = []
             for k, p in packed(np.arange(len(row)), shard_of(h, shards), shards):
                 local, at = np.unique(inv[p], return_inverse=True)
-                out.append((k, blob(segment[first[local]]), blob(at.astype(np.int32)), blob(ids[row[p]]), blob(start[p]), blob(reach[p])))
+                out.append((k, blob(segment[first[local]]), blob(at.astype(np.int32)), blob(ids[row[p]]), blob(keys[row[p]]), blob(start[p]), blob(reach[p])))
             del segment
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["shard", "segments", "which", "doc", "place", "reach"])
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["shard", "segments", "which", "doc", "row", "place", "reach"])
 
     return run
 
@@ -262,12 +263,13 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(group: pa.Table) -> pa.Table:
-    """Spans to remove by document, of one shard."""
+    """Spans to remove by row, of one shard."""
     per_row = [len(x.as_buffer()) // WIDTH for x in group.column("segments").combine_chunks()]
     base = np.concatenate([[0], np.cumsum(per_row)])
     counts = [len(x.as_buffer()) // 4 for x in group.column("which").combine_chunks()]
     which = joined(group.column("which"), np.int32) + np.repeat(base[:-1], counts)
     doc, place, reach = joined(group.column("doc"), np.int64), joined(group.column("place"), np.int32), joined(group.column("reach"), np.int32)
+    row = joined(group.column("row"), np.int64)
     segments = joined(group.column("segments"), np.uint8).reshape(-1, WIDTH)
     # Equal segments of different batches as one, those of an anchor together.
     a, h = row_hashes(segments[:, REACH:LENGTH]), row_hashes(segments)
@@ -285,7 +287,7 @@ def _spans(group: pa.Table) -> pa.Table:
         k, s = np.nonzero(gone[:, 1:-1] & ~gone[:, :-2])  # runs of strings as one span each
         e = np.nonzero(gone[:, 1:-1] & ~gone[:, 2:])[1]
         at = i + k
-        pieces.append(np.stack([doc[at], place[at] - REACH + s, place[at] + reach[at] - REACH + e + LENGTH]))
+        pieces.append(np.stack([row[at], place[at] - REACH + s, place[at] + reach[at] - REACH + e + LENGTH]))
     d, start, stop = np.concatenate(pieces, axis=1)
     order = np.argsort(d, kind="stable")
     d, start, stop = d[order], start[order], stop[order]
@@ -294,11 +296,16 @@ def _spans(group: pa.Table) -> pa.Table:
     return pa.table({"of": pa.array(docs, pa.int64()), "start": pa.array([blob(a) for a, _ in spans], pa.binary()), "stop": pa.array([blob(b) for _, b in spans], pa.binary())})
 
 
+def _row() -> Column:
+    """Key of a row: rows of one id and text are alike, and lose the same."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(of, starts, stops): packed spans of bytes to remove, as the shards found them, of each document that has any."""
+    """(of, starts, stops): packed spans of bytes to remove, as the shards found them, of each row (by key) that has any."""
     spark = docs.sparkSession
     shards = shards_of(spark, 8)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= LENGTH)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row()).where(F.octet_length("text") >= LENGTH)
     seen = docs.mapInArrow(_seen(shards), "shard int, h binary, many binary")
     again = written(seen.groupBy("shard").applyInArrow(_repeated, "shard int, h binary, n long"), "substrings-anchors")
     total = again.agg(F.sum("n")).first()[0] or 0
@@ -311,7 +318,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     made = {r.shard: np.frombuffer(r.slice, np.uint64) for r in again.select("shard", "h").mapInArrow(slices, "shard int, slice binary").collect()}
     shared = spark.sparkContext.broadcast(Filter([made.get(k, np.zeros(1, np.uint64)) for k in range(shards)]))
-    segments = docs.mapInArrow(_segments(shards, shared), "shard int, segments binary, which binary, doc binary, place binary, reach binary")
+    segments = docs.mapInArrow(_segments(shards, shared), "shard int, segments binary, which binary, doc binary, row binary, place binary, reach binary")
     spans = segments.groupBy("shard").applyInArrow(_spans, "of long, start binary, stop binary")
     return written(spans.groupBy("of").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "substrings-spans")
 
@@ -322,8 +329,8 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     spans = repeated_spans(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(spans, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("of"), "left").select("doc_id", "text", "starts", "stops")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row())
+    rows = rows.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", "starts", "stops")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
