@@ -38,3 +38,20 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         later = roots.select(F.col("node").alias("to"), "root")
         roots = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
     return roots
+
+
+#: Parts over which the rows of one component are spread when they are joined with what holds for all of it.
+PARTS = 32
+
+
+def least_of(roots: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, least): for each node of ``roots`` (node, root) the smallest value that ``values`` (node, value)
+    has in its component.
+
+    A component may hold a third of all nodes: it is summed in parts, and each part meets a copy of the sum.
+    """
+    part = F.pmod(F.xxhash64("node"), F.lit(PARTS).cast("long")).alias("part")
+    dealt = roots.join(values, "node").select("node", "root", "value", part)
+    sums = dealt.groupBy("root", "part").agg(F.min("value").alias("least")).groupBy("root").agg(F.min("least").alias("least"))
+    copies = sums.select("root", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
+    return roots.select("node", "root", part).join(copies, ["root", "part"]).select("node", "least")

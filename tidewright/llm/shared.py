@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one is made only where none is set, as in tests."""
+    """The checkpoint folder that the cluster names.
+
+    Where none is set, a temporary one is made in local mode only: on a cluster no other machine would see it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -30,9 +36,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shards_of(spark: SparkSession, per_partition: int = 2) -> int:
-    """How many hash shards packed data is dealt into: it follows the session's shuffle partitions."""
-    return max(4, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def shards_of(spark: SparkSession, per_partition: int = 2, size: int = 0, most: int = 1) -> int:
+    """How many hash shards packed data is dealt into.
+
+    It follows the session's shuffle partitions, and is so large that a shard of data of ``size`` holds ``most`` at most.
+    """
+    return max(4, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-size // most))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of a column of texts."""
+    return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

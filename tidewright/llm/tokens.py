@@ -47,9 +47,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and where each row starts in them; null is empty."""
+    column = column.cast(pa.large_binary())  # first: chunks of 32-bit offsets may be too large for one
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
     n, at = len(column), column.offset
