@@ -3,7 +3,9 @@ from fractions import Fraction
 
 import pytest
 
+from tidewright.llm import op2_jaccard_join
 from tidewright.llm.op2_jaccard_join import deduplicated, jaccard_groups
+from tidewright.llm.shared import written
 
 SCHEMA = "doc_id long, text string"
 
@@ -58,6 +60,30 @@ def test_groups_equal_brute_force(spark, k, t, sizes):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, k, t.numerator, t.denominator)
 
 
+def test_a_large_group_around_the_threshold(spark, monkeypatch):
+    """Near copies of which many are no copies of each other, in cells of a few sets; rows of cells stay few."""
+    monkeypatch.setattr(op2_jaccard_join, "CELL", 16)
+    r = random.Random(3)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for n in range(200):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+        rows.append((n, " ".join(w)))
+    made = []
+    monkeypatch.setattr(op2_jaccard_join, "written", lambda df, tag: made.append((tag, out := written(df, tag))) or out)
+    got = jaccard_groups(spark.createDataFrame(rows, SCHEMA).repartition(4), 5, Fraction(4, 5))
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got.collect()} == brute(rows, 5, 4, 5)
+    across = [df for tag, df in made if tag == "jaccard-across"]
+    assert all(df.count() < 2000 for df in across)
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a + " more")]
+    assert sorted(tuple(r) for r in deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()) == [(1, a), (1, b)]
+
+
 def test_nulls_blanks_repeats_and_clashing_columns(spark):
     rows = [(None, "a b c d"), (1, None), (2, ""), (3, " \n"), (4, "A b\tc d"), (5, "a b c d"), (5, "a b c d"), (6, "x"), (7, "X"), (8, "x y")]
     got = jaccard_groups(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as component_id", "2 as node"), 3, Fraction(9, 10))

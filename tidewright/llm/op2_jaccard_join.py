@@ -17,8 +17,9 @@ most H = (a + b)(1 - t)/(1 + t) shingles. From this both sides of the join follo
 The parity sketches of two sets give a lower bound of the sets' difference, so a pair whose bound is
 above H is turned down before any text is moved. Every member of a list is compared with the
 list's first member, which needs a number of pairs that is linear in the lists, and verified by the
-shingles of both texts. Only where a list still holds more than one connected group are further
-pairs looked at: those across groups, cut into cells of bounded size, behind the sketches too.
+shingles of both texts. Only where a list still holds more than one connected group are its sets
+brought together, in cells of bounded size, and those outside its main group compared with all.
+A cell returns a forest: no more links than it has groups, whatever the number of pairs.
 Links within a group that is known to be connected change no component, so the result is that of
 comparing all pairs.
 
@@ -29,6 +30,10 @@ Defined results
 * repeated rows are copies: each gets a row. A row with a null id is linked with nothing and has a
   null component.
 * shingles and sets are known by 64-bit hashes.
+* a text may be of any length: it is hashed whole, in pieces. A set takes 8 bytes a shingle in a cell,
+  and one set larger than a cell is in cells of its own size.
+* ties: of a group, the smallest id names it and stays; which of equal texts brought it plays no part.
+* an empty table gives an empty table. Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -42,13 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.graph import components
+from tidewright.llm.graph import components, least_of
 from tidewright.llm.shared import shards_of, without, written
 from tidewright.llm.tokens import blob, each_run, joined, mix, packed, shard_of
 from tidewright.sources.tables import table
 
-#: Rows of a list that one cell of further pairs takes from either side.
-CELL = 1024
+#: Sets, and shingles, of a list that one cell of further pairs takes from either side, about.
+CELL, CELL_SHINGLES = 4096, 1 << 20
+#: Shingles of all sets for each shard of the lists.
+SHARD_SHINGLES = 1 << 22
 #: Weight of verifying a pair against that of one key, in ``boundary``.
 VERIFY = 16
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -184,7 +191,7 @@ def _nodes(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int | None, np.ndarr
 
 
 def _rows(docs: DataFrame, k: int) -> DataFrame:
-    """(id, node, n_shingles, sketch) of each row; sketches once for each node of a batch."""
+    """(id, text_key, node, n_shingles, sketch) of each row of (id, text, text_key); sketches once for each node of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +202,9 @@ def _rows(docs: DataFrame, k: int) -> DataFrame:
                 seen.add(x)
             cols = zip(*out, strict=True) if out else [[], [], []]
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            yield pa.record_batch([batch.column(0), *arrays], names=["id", "node", "n_shingles", "sketch"])
+            yield pa.record_batch([batch.column(0), batch.column(2), *arrays], names=["id", "text_key", "node", "n_shingles", "sketch"])
 
-    return docs.mapInArrow(run, "id long, node long, n_shingles long, sketch binary")
+    return docs.mapInArrow(run, "id long, text_key long, node long, n_shingles long, sketch binary")
 
 
 def _posted(docs: DataFrame, k: int, t: Fraction, shards: int) -> DataFrame:
@@ -260,20 +267,28 @@ def _possible(pairs: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
     return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose sets reach the threshold."""
-    pairs = written(pairs, "jaccard-pairs")
-    if pairs.isEmpty():
-        return pairs
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(nodes.join(ends, "node").select(F.col("rep").alias("id"), "node"), "jaccard-wanted")
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.cast(pa.large_binary()).combine_chunks()
+
+
+def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, text) of each node of ``wanted`` (node)."""
+    wanted = written(nodes.join(wanted, "node").select(F.col("rep").alias("id"), "node"), "jaccard-wanted")
 
     def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # a row of the same id may have another text
             yield batch.filter(pa.array([n.as_py() == x for n, (x, _) in zip(batch.column(0), _nodes(batch, k), strict=True)], pa.bool_()))
 
     texts = docs.join(wanted, "id").select("node", "text").mapInArrow(own_text, "node long, text string")
-    own = written(texts.dropDuplicates(["node"]), "jaccard-texts")
+    return written(texts.dropDuplicates(["node"]), "jaccard-texts")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose sets reach the threshold."""
+    pairs = written(pairs, "jaccard-pairs")
+    if pairs.isEmpty():
+        return pairs
+    own = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, docs, k)
     # A node with many pairs is met in copies of its text, each with a bounded part of the pairs.
     spread = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / 256) + 1).alias("copies"))
     left = spread.join(own, spread.a == own.node).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("text").alias("ta"))
@@ -295,64 +310,95 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fr
     return written(both.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
-def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs across groups within a list, if the sketches of their sets allow for the threshold.
+def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(a, b): links that connect all groups which are linked within a list.
 
-    Lists of one first member are taken together, so that a pair that is in many of them, as near
-    copies are, is looked at once.
+    Lists of one first member are taken together, so that sets that are in many of them, as near
+    copies are, meet once. Most members of a list are in its main group by now; each of the others is
+    compared with all members. For this the list is cut into parts of bounded bytes, and a cell
+    holds the sets of two parts. It returns no more links than it has groups, as two groups are
+    not compared any further once a link between them is found.
     """
     rows = lists.withColumnRenamed("head", "key").join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    mixed = rows.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    cells = F.floor(F.col("n") / CELL) + 1
-    rows = rows.join(mixed.select("key", "n"), "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    # The list is cut into parts; a cell holds the pairs of two parts, a row goes to each cell of its part.
-    rows = rows.withColumn("cells", cells).withColumn("part", F.pmod(F.xxhash64("node"), "cells")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    rows = rows.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other")).select("key", "x", "y", "part", "node", "group", "n_shingles", "sketch")
-    ratio = (1 - t) / (1 + t)
-
-    def cell(group: pa.Table) -> pa.Table:
-        sk = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("sketch").combine_chunks()]
+    rows = written(rows.join(nodes.select("node", "n_shingles"), "node"), "jaccard-listed")
+    by_group = rows.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words"))
+    whole = by_group.groupBy("key").agg(F.max(F.struct("n", "group")).alias("m"), F.sum("n").alias("n"), F.sum("words").alias("words"), F.max(F.struct("n", "group", "words"))["words"].alias("own"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    parts = lambda n, words: (F.greatest(F.floor(n / CELL), F.floor(words / CELL_SHINGLES)) + 1).cast("long")
+    mixed = whole.select("key", F.col("m")["group"].alias("main"), parts(F.col("n") - F.col("m")["n"], F.col("words") - F.col("own")).alias("xs"), parts(F.col("n"), F.col("words")).alias("ys"))
+    mixed = written(mixed, "jaccard-mixed")
+    if mixed.isEmpty():
+        return nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    rows = rows.join(mixed, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    others = rows.where(F.col("group") != F.col("main")).withColumn("x", part("xs")).withColumn("y", each("ys")).withColumn("other", F.lit(True))
+    every = rows.withColumn("y", part("ys")).withColumn("x", each("xs")).withColumn("other", F.lit(False))
+    placed = others.unionByName(every).select("key", "x", "y", "node", "group", "main", "other")
+
+    def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [blob(s) for _, s in shingle_sets(batch.column(1), k)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    texts = _texts(rows.select("node").distinct(), nodes, docs, k)
+    sets = written(texts.mapInArrow(packed_sets, "node long, shingles binary").join(nodes.select("node", "sketch"), "node"), "jaccard-sets")
+    num, den, ratio = t.numerator, t.denominator, (1 - t) / (1 + t)
+
+    def cell(rows: pa.Table) -> pa.Table:
+        node, other = rows.column("node").to_numpy(), rows.column("other").to_numpy(zero_copy_only=False)
+        ids, of = np.unique(rows.column("group").to_numpy(), return_inverse=True)
+        label, main = np.arange(len(ids)), np.flatnonzero(ids == rows.column("main")[0].as_py())
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in _one(rows.column("shingles"))]
+        size = np.array([len(v) for v in sets])
+        sk = [np.frombuffer(v.as_buffer(), np.uint64) for v in _one(rows.column("sketch"))]
         width = min(map(len, sk))
-        sk = np.stack([np.bitwise_xor.reduce(s.reshape(-1, width), axis=0) for s in sk])
-        node, of, part, size = (group.column(c).to_numpy() for c in ("node", "group", "part", "n_shingles"))
-        # Whole-number form of: difference <= (a + b)(1 - t)/(1 + t)
-        most = ((size[:, None] + size[None, :]) * ratio.numerator) // ratio.denominator if len(size) <= CELL else None
-        a, b = [], []
-        one = group.column("x")[0].as_py() == group.column("y")[0].as_py()
-        for i in range(len(node)):
-            limit = most[i] if most is not None else ((size[i] + size) * ratio.numerator) // ratio.denominator
-            hit = (of != of[i]) & (node > node[i]) & (np.bitwise_count(sk[i] ^ sk).sum(axis=1) <= limit)
-            if not one:
-                hit &= part != part[i]
-            found = node[hit]
-            a.append(np.full(len(found), node[i]))
-            b.append(found)
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return rows.groupBy("key", "x", "y").applyInArrow(cell, "a long, b long").distinct()
+        sk = np.stack([np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in sk])
+        twice = other | ~np.isin(of, main)  # pairs of these come from both of their ends
+        links = []
+        for i in np.flatnonzero(other):
+            limit = ((size[i] + size) * ratio.numerator) // ratio.denominator
+            near = np.flatnonzero(~other & (label[of] != label[of[i]]) & (np.bitwise_count(sk[i] ^ sk).sum(axis=1) <= limit) & (~twice | (node > node[i])))
+            for j in np.split(near, np.flatnonzero(np.diff(np.cumsum(size[near]) >> 18)) + 1):
+                j = j[label[of[j]] != label[of[i]]]
+                if not len(j):
+                    continue
+                theirs = np.concatenate([sets[x] for x in j])
+                at = np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)
+                common = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(size[j]) - size[j])
+                for x in j[den * common >= num * (size[i] + size[j] - common)]:
+                    if label[of[x]] != label[of[i]]:
+                        label[label == label[of[x]]] = label[of[i]]
+                        links.append((node[i], node[x]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    found = placed.join(sets, "node").groupBy("key", "x", "y").applyInArrow(cell, "a long, b long")
+    return written(found, "jaccard-across")
 
 
 def jaccard_groups(docs: DataFrame, k: int, t: Fraction, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key linked), ``node``."""
+    """One row per row of ``docs``: key, ``n_shingles``, ``component_id`` (the smallest key linked), ``text_key``
+    (a hash of the text), ``node`` and ``group`` (hashes of the row's set and of its group, null without one)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = written(_rows(docs, k), "jaccard-rows")
+    rows = written(_rows(docs.withColumn("text_key", F.xxhash64("text")), k), "jaccard-rows")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     nodes = written(nodes, "jaccard-nodes")
-    met = _posted(docs, k, t, shards_of(spark, 1)).groupBy("shard").applyInArrow(_met, "head long, node long")
+    words = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    met = _posted(docs, k, t, shards_of(spark, 1, words, SHARD_SHINGLES)).groupBy("shard").applyInArrow(_met, "head long, node long")
     lists = written(met.distinct(), "jaccard-lists")
     star = lists.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = _verified(_possible(star, nodes, t), nodes, docs, k, t)
     groups = written(components(links), "jaccard-groups")
-    more = _verified(_across(lists, groups, nodes, t), nodes, docs, k, t)
+    more = _across(lists, groups, nodes, docs, k, t)
     if not more.isEmpty():
         groups = written(components(links.union(more)), "jaccard-groups")
-    smallest = nodes.join(groups, "node").groupBy("root").agg(F.min("rep").alias("least"))
-    by_node = nodes.join(groups, "node", "left").join(smallest, "root", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    least = least_of(groups, nodes.select("node", F.col("rep").alias("value")))
+    by_node = nodes.select("node", "rep").join(least.join(groups, "node"), "node", "left")
+    by_node = by_node.select("node", F.coalesce("least", "rep").alias("component_id"), F.coalesce("root", "node").alias("group"))
     return (
         rows.drop("sketch").join(by_node, "node", "left")
         .withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
-        .select(F.col("id").alias(key), "n_shingles", "component_id", "node")
+        .select(F.col("id").alias(key), "n_shingles", "component_id", "text_key", "node", "group")
     )
 
 
@@ -363,13 +409,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id. Rows without an id stay.
+    """``docs`` with one document of each group: that of the smallest id (of rows of one id, that of the smallest hash).
 
-    Repeated rows of one id are one document; texts without shingles are no copies of each other.
+    Rows without an id or without shingles stay. Rows that are equal in id and text are one document.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text"), k, t)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    if not groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).union(docs.where("doc_id is null"))
+    groups = written(jaccard_groups(docs.select("doc_id", "text"), k, t), "jaccard-kept")
+    first = groups.where("node is not null").groupBy("group").agg(F.min(F.struct("doc_id", "node", "text_key")).alias("f"))
+    chosen = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"))
+    rest = groups.where("node is null and doc_id is not null").select("doc_id", "text_key").distinct()
+    keep = written(chosen.unionByName(rest.toDF("_id", "_key")), "jaccard-chosen")
+    out = docs.join(keep, (docs.doc_id == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    if not groups.groupBy("doc_id", "text_key").count().where("doc_id is not null and count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where("doc_id is null"))
