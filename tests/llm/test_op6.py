@@ -52,6 +52,15 @@ def test_equals_brute_force(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def test_one_line_in_all_documents_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(d, "PER_BUCKET", 1 << 12)
+    r = random.Random(4)
+    line = "this line of more than fifty bytes is in every document, word by word"
+    rows = [(i, f"{r.random()} start {line} end {r.random()}\n{line}") for i in range(300)]
+    rows.append((900, "\n".join(f"{r.random()} {line if k % 50 == 0 else ''}" for k in range(1500))))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 

@@ -12,10 +12,11 @@ these), and goes to the shard of its anchor's hash, with what is around the anch
    sorts its distinct segments' suffixes by induced sorting and computes permuted common prefixes:
    suffixes in a run of common prefixes of LENGTH bytes or more start with the same string, and
    the run's smallest document id says in which documents the string goes.
-3. Spans are gathered by row, a hash of id and text, and cut out.
+3. A shard packs its spans by bucket of rows, so their number of rows does not follow that of the
+   documents; a bucket gathers them by row, a hash of id and text, and they are cut out.
 
-Reduced texts of names are ordered by doubling of ranks, where induced sorting would recurse: a
-segment is short, so a few rounds do.
+Texts of names are sorted by the same induction again, over the digits of the names. Only where these
+would be no shorter than the text that was reduced, ranks of names are doubled.
 
 Defined results
 ---------------
@@ -23,7 +24,10 @@ Defined results
   A null id counts as larger than any other, and null ids as one document. Each row loses its own
   spans only, whatever other rows of its id hold.
 * bytes are removed wherever they are, also inside a character; ``kept_sha256`` is over bytes.
-* an empty table gives an empty table; columns other than id and text are not read.
+* texts of any length are worked on in pieces of bounded size and are never cut short; texts shorter than
+  LENGTH lose nothing.
+* repeated rows are alike, and ties between equal ids remove nothing of each other.
+* an empty table gives an empty table; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import shards_of, written
+from tidewright.llm.shared import shards_of, text_bytes, written
 from tidewright.llm.suffixes import permuted_common_prefixes, prefix_hashes, substring_hashes, suffix_array
 from tidewright.llm.tokens import VALUES, blob, bytes_of, joined, mix, packed, powers, runs, shard_of
 from tidewright.sources.tables import table
@@ -51,6 +55,8 @@ BITS, MOST_BITS = 12, 1 << 30
 SORTED, STEP = 1 << 19, 1 << 19
 #: Bytes of text whose anchors or segments a task holds at once.
 PORTION = 1 << 23
+#: Bytes of all texts for each shard of anchors, and for each bucket of rows in which spans are gathered.
+PER_SHARD, PER_BUCKET = 1 << 24, 1 << 26
 NO_ID = (1 << 63) - 1
 OUT = 255  # outside of the document; in no UTF-8 text
 
@@ -262,8 +268,18 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
-def _spans(group: pa.Table) -> pa.Table:
-    """Spans to remove by row, of one shard."""
+def merged_by_row(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order by row, those of a row that touch or overlap as one."""
+    if not len(row):
+        return row, start, stop
+    keys, at = np.unique(row, return_inverse=True)
+    base = at.astype(np.int64) << 32  # no text is as long, so rows stay apart
+    a, b = merged(base + start, base + stop)
+    return keys[a >> 32], a & 0xFFFFFFFF, b & 0xFFFFFFFF
+
+
+def _spans(group: pa.Table, buckets: int) -> pa.Table:
+    """Spans to remove, of one shard, packed by bucket of rows."""
     per_row = [len(x.as_buffer()) // WIDTH for x in group.column("segments").combine_chunks()]
     base = np.concatenate([[0], np.cumsum(per_row)])
     counts = [len(x.as_buffer()) // 4 for x in group.column("which").combine_chunks()]
@@ -288,12 +304,18 @@ def _spans(group: pa.Table) -> pa.Table:
         e = np.nonzero(gone[:, 1:-1] & ~gone[:, 2:])[1]
         at = i + k
         pieces.append(np.stack([row[at], place[at] - REACH + s, place[at] + reach[at] - REACH + e + LENGTH]))
-    d, start, stop = np.concatenate(pieces, axis=1)
-    order = np.argsort(d, kind="stable")
-    d, start, stop = d[order], start[order], stop[order]
-    docs, at = np.unique(d, return_index=True)
-    spans = [merged(x, y) for x, y in zip(np.split(start, at[1:]), np.split(stop, at[1:]), strict=True)] if len(docs) else []
-    return pa.table({"of": pa.array(docs, pa.int64()), "start": pa.array([blob(a) for a, _ in spans], pa.binary()), "stop": pa.array([blob(b) for _, b in spans], pa.binary())})
+    found = np.stack(merged_by_row(*np.concatenate(pieces, axis=1)), axis=1)
+    rows = list(packed(found, shard_of(mix(found[:, 0].astype(np.uint64)), buckets), buckets))
+    return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "spans": pa.array([blob(x) for _, x in rows], pa.binary())})
+
+
+def _by_row(group: pa.Table) -> pa.Table:
+    """Of one bucket the spans of all shards, a row for each row of the documents that has any."""
+    of, start, stop = merged_by_row(*joined(group.column("spans"), np.int64).reshape(-1, 3).T)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    ends = np.append(first[1:], len(of))
+    cut = lambda x: pa.array([blob(x[i:j]) for i, j in zip(first, ends, strict=True)], pa.binary())
+    return pa.table({"of": pa.array(of[first], pa.int64()), "start": cut(start), "stop": cut(stop)})
 
 
 def _row() -> Column:
@@ -302,9 +324,10 @@ def _row() -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(of, starts, stops): packed spans of bytes to remove, as the shards found them, of each row (by key) that has any."""
+    """(of, start, stop): packed spans of bytes to remove of each row (by key) that has any."""
     spark = docs.sparkSession
-    shards = shards_of(spark, 8)
+    size = text_bytes(docs)
+    shards, buckets = shards_of(spark, 8, size, PER_SHARD), shards_of(spark, 1, size, PER_BUCKET)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row()).where(F.octet_length("text") >= LENGTH)
     seen = docs.mapInArrow(_seen(shards), "shard int, h binary, many binary")
     again = written(seen.groupBy("shard").applyInArrow(_repeated, "shard int, h binary, n long"), "substrings-anchors")
@@ -319,8 +342,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     made = {r.shard: np.frombuffer(r.slice, np.uint64) for r in again.select("shard", "h").mapInArrow(slices, "shard int, slice binary").collect()}
     shared = spark.sparkContext.broadcast(Filter([made.get(k, np.zeros(1, np.uint64)) for k in range(shards)]))
     segments = docs.mapInArrow(_segments(shards, shared), "shard int, segments binary, which binary, doc binary, row binary, place binary, reach binary")
-    spans = segments.groupBy("shard").applyInArrow(_spans, "of long, start binary, stop binary")
-    return written(spans.groupBy("of").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "substrings-spans")
+    spans = segments.groupBy("shard").applyInArrow(lambda group: _spans(group, buckets), "bucket int, spans binary")
+    return written(spans.groupBy("bucket").applyInArrow(_by_row, "of long, start binary, stop binary"), "substrings-spans")
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -330,18 +353,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
     spans = repeated_spans(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row())
-    rows = rows.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", "starts", "stops")
+    rows = rows.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", "start", "stop")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = bytes_of(batch.column(1))
             out = []
-            for r, (starts, stops) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for r, (start, stop) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 text, n = data[offs[r] : offs[r + 1]], 0
                 kept = text.tobytes()
-                if starts.is_valid:
-                    a, b = (np.frombuffer(b"".join(x.as_py()), np.int64) for x in (starts, stops))
-                    a, b = merged(a, b)
+                if start.is_valid:
+                    a, b = (np.frombuffer(x.as_buffer(), np.int64) for x in (start, stop))
                     a, b = a[a < len(text)], np.minimum(b[a < len(text)], len(text))
                     n = len(a)
                     kept = b"".join(kept[x:y] for x, y in zip(np.append(0, b), np.append(a, len(text)), strict=True)) if n else kept

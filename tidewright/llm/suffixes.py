@@ -92,8 +92,22 @@ def induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([x for c in range(256) for x in (larger[c], smaller[c])])
 
 
+def _digits(names: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text of names as a text of bytes: each name as digits from 1 to 255, as many as the largest takes; and 0 at the end."""
+    width = 1
+    while 255**width <= int(names.max(initial=0)):
+        width += 1
+    out = np.zeros(len(names) * width + 1, np.uint8)
+    for k in range(width):
+        out[width - 1 - k : -1 : width] = names // 255**k % 255 + 1
+    return out, width
+
+
 def _ranked(names: np.ndarray, most: int) -> np.ndarray:
-    """Order of the suffixes of a reduced text by their first ``most`` names, by doubling of ranks."""
+    """Order of the suffixes of a reduced text by their first ``most`` names, by doubling of ranks.
+
+    This is for the texts of names whose digits are no shorter than what they were reduced from.
+    """
     rank, width = names.astype(np.int64), 1
     while True:
         after = np.zeros_like(rank)
@@ -131,7 +145,12 @@ def suffix_array(t: np.ndarray, most: int) -> np.ndarray:
     names[place[ordered]] = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
     if len(starts) > 1 and names.max() < len(starts) - 1:
         # Names repeat: the order of the text of names, of which none is shorter than two characters.
-        ordered = starts[_ranked(names, most // 2 + 2)]
+        digits, width = _digits(names)
+        if len(digits) < n:  # the same sorting of a shorter text
+            order = suffix_array(digits, (most // 2 + 2) * width)
+            ordered = starts[order[(order % width == 0) & (order < len(digits) - 1)] // width]
+        else:
+            ordered = starts[_ranked(names, most // 2 + 2)]
     return induced(t, small, ordered)
 
 
