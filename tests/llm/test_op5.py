@@ -54,6 +54,58 @@ def test_model_beats_base_on_held_out_copies(spark, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def low(c):
+    """The lower end of a count's level: exact up to 8, then four levels an octave."""
+    ends = sorted({*range(9), *(math.floor(8 * 2 ** (k / 4)) for k in range(1, 100))})
+    return max(e for e in ends if e <= c)
+
+
+def high(c):
+    ends = sorted({*range(1, 9), *(math.floor(8 * 2 ** (k / 4)) for k in range(1, 100))})
+    return min(e for e in ends if e > c) - 1 if c else 0
+
+
+def defined_scores(rows):
+    """Scores from their definition, with counts in dictionaries."""
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    toks = {i: [*(t or "").encode().lower().split(), 0] for i, t in rows}
+    train = [ws for i, ws in toks.items() if not held[i]]
+    one = Counter(w for ws in train for w in ws)
+    count_of_context = one | Counter({"B": len(train)})  # as the filter has it: how often the word itself occurs
+    two = Counter(p for ws in train for p in zip(["B", *ws[:-1]], ws, strict=True))
+    after = Counter(u for u, _ in two)
+    n1, n2 = (sum(c == k for c in two.values()) for k in (1, 2))
+    d, n = n1 / (n1 + 2 * n2), sum(low(c) for c in one.values()) + 0.5 * (len(one) + 1)
+    out = {}
+    for i, ws in toks.items():
+        p1 = [(low(one[w]) + 0.5) / n for w in ws]
+        p2 = []
+        for u, w, p in zip(["B", *ws[:-1]], ws, p1, strict=True):
+            c, t = high(count_of_context[u]), low(after[u])
+            p2.append(min(1.0, (max(low(two[u, w]) - d, 0) + d * t * p) / c) if c and t else p)
+        mean = lambda *logs: (m := max(logs)) + math.log10(sum(10 ** (x - m) for x in logs) / len(logs))
+        a, b = [math.log10(x) for x in p1], [math.log10(x) for x in p2]
+        parts = sum(mean(sum(a[k : k + 64]), sum(b[k : k + 64])) for k in range(0, len(a), 64))
+        out[i] = mean(sum(a), sum(b), sum(math.log10((x + y) / 2) for x, y in zip(p1, p2, strict=True)), parts)
+    return out
+
+
+@pytest.mark.parametrize("most_bits", [1 << 40, 0])
+def test_score_equals_its_definition(spark, rows, monkeypatch, most_bits):
+    """With bits enough for no false positives, broadcast and probed in its slices."""
+    monkeypatch.setattr(lm, "BITS", 20_000)
+    monkeypatch.setattr(lm, "MOST_BITS", most_bits)
+    monkeypatch.setattr(lm, "UNIT", 1 << 10)
+    got, model = scored(spark, rows)
+    assert (model.filters is None) == (most_bits == 0)
+    want = defined_scores(rows)
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i], rel=1e-9), i
+    plain = base(rows)
+    assert all(r.base_score == pytest.approx(plain[i][4], rel=1e-9) for i, r in got.items())
+
+
 def test_filter_finds_every_level_and_few_others():
     import numpy as np
 

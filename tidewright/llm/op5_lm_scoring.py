@@ -19,33 +19,43 @@ A document's probability is the mean of four experts: all words by p(w), all by
 mean of both, and each segment of ``SEGMENT`` words by either as a whole. So fresh text loses next
 to nothing against word counts, and copied passages gain within documents that are otherwise fresh.
 
-The size of the broadcast follows the corpus at ``BITS`` bits a stored level and is bounded by
-``MOST_BITS``: beyond that no n-gram is left out, but bits a level fall and false positives rise.
+The filter follows the corpus at ``BITS`` bits a stored level, whatever its size. Up to ``MOST_BITS`` it is
+broadcast. A larger one stays in its slices, by shard, and the probes are taken there: texts are put
+into units of bounded size, each unit's distinct n-grams go to the slices and their levels come back to
+the unit. Either way gives the same score.
+
 The exact base score needs exact counts: words at the head, at most ``HEAD`` of them, are
 broadcast; all others are looked up by a join of the shards.
 
 Defined results
 ---------------
-* null text is empty: it has one token, its end. Texts are scored row by row, repeated rows alike.
-* a null id is not held out: its text is learned from.
-* an empty table gives an empty table; columns other than id and text are not read.
+* null text is empty: it has one token, its end. Texts are scored row by row, repeated rows alike (up to the
+  order of a sum).
+* a text may be of any length; it is scored whole, in memory of some 100 bytes a word.
+* a null id is not held out: its text is learned from. There are no ties: nothing is ranked.
+* an empty table gives an empty table, and a model of nothing scores by smoothing alone; columns other than
+  id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import shards_of, written
-from tidewright.llm.tokens import blob, each_run, joined, mix, packed, shard_of
+from tidewright.llm.shared import shards_of, text_bytes, written
+from tidewright.llm.tokens import blob, bytes_of, each_run, joined, mix, packed, shard_of
 from tidewright.sources.tables import table
 
-#: Bits a stored level; most bits of the filter (256 MB); most words whose exact counts are broadcast.
-BITS, MOST_BITS, HEAD = 12, 1 << 31, 1 << 20
+#: Bits a stored level; most bits of a filter that is broadcast (128 MB); most words whose exact counts are broadcast.
+BITS, MOST_BITS, HEAD = 12, 1 << 30, 1 << 20
+#: Bytes of texts for each shard of counts; tokens that are counted or sent at once; bytes and rows of a unit.
+PER_SHARD, PORTION, UNIT, UNIT_ROWS = 1 << 25, 1 << 20, 1 << 22, 1 << 16
 #: Smoothing of the word probabilities.
 ADD = 0.5
 SEGMENT = 64
@@ -150,31 +160,39 @@ def _streams(column: pa.Array, piece: int = 1 << 20) -> Iterator[tuple[int, int,
 def _counted(shards: int, pairs: bool):
     """Packed counts of words, or of pairs, by shard."""
 
+    def packed_counts(parts: list[tuple]) -> pa.RecordBatch:
+        h, u, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        n = np.bincount(inv, weights=n).astype(np.uint32)
+        rows = list(packed(np.arange(len(h)), shard_of(h, shards), shards))
+        return pa.record_batch(
+            [
+                pa.array([k for k, _ in rows], pa.int32()),
+                pa.array([blob(h[p]) for _, p in rows], pa.binary()),
+                pa.array([blob(u[first[p]]) if pairs else b"" for _, p in rows], pa.binary()),
+                pa.array([blob(n[p]) for _, p in rows], pa.binary()),
+            ],
+            names=["shard", "h", "u", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for i, j, token, before, _ in _streams(batch.column(0), 1 << 22):
-                if pairs:
-                    h, first, n = np.unique(pair(before, token), return_index=True, return_counts=True)
-                    parts.append((h, before[first], n))
-                else:
-                    h, n = np.unique(token, return_counts=True)
-                    parts.append((np.append(h, BEGIN), h[:0], np.append(n, j - i)))
-            if not parts:
-                continue
-            h, u, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            h, first, inv = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(inv, weights=n).astype(np.uint32)
-            rows = list(packed(np.arange(len(h)), shard_of(h, shards), shards))
-            yield pa.record_batch(
-                [
-                    pa.array([k for k, _ in rows], pa.int32()),
-                    pa.array([blob(h[p]) for _, p in rows], pa.binary()),
-                    pa.array([blob(u[first[p]]) if pairs else b"" for _, p in rows], pa.binary()),
-                    pa.array([blob(n[p]) for _, p in rows], pa.binary()),
-                ],
-                names=["shard", "h", "u", "n"],
-            )
+            parts, held = [], 0
+            for i, j, token, before, _ in _streams(batch.column(0), 1 << 19):
+                for k in range(0, len(token), PORTION):
+                    w, u = token[k : k + PORTION], before[k : k + PORTION]
+                    if pairs:
+                        h, first, n = np.unique(pair(u, w), return_index=True, return_counts=True)
+                        parts.append((h, u[first], n))
+                    else:
+                        h, n = np.unique(w, return_counts=True)
+                        parts.append((np.append(h, BEGIN), h[:0], np.append(n, j - i if k == 0 else 0)))
+                    held += len(h)
+                    if held >= PORTION:
+                        yield packed_counts(parts)
+                        parts, held = [], 0
+            if parts:
+                yield packed_counts(parts)
 
     return run
 
@@ -247,16 +265,26 @@ def _words_shard(group: pa.Table) -> pa.Table:
 WORDS = "shard int, h binary, n binary, t binary, tokens long, types long, quantised long, levels long, by_level array<long>"
 
 
+@dataclass
 class Model:
-    """What scoring needs: ``words`` (the sharded exact counts), the filters and the head, and sums."""
+    """What scoring needs: ``words`` (the sharded exact counts), the head, sums, and the filter.
 
-    def __init__(self, words: DataFrame, shards: int, tokens: int, types: int, quantised: int, discount: float, word_filter: Filter, pair_filter: Filter, head: tuple[np.ndarray, np.ndarray]):
-        self.words, self.shards, self.tokens, self.types = words, shards, tokens, types
-        self.quantised, self.discount, self.filters, self.head = quantised, discount, (word_filter, pair_filter), head
+    ``filters`` (of words and pairs) are set where the filter is broadcast, else ``slices`` (shard, words, pairs).
+    """
+
+    words: DataFrame
+    shards: int
+    tokens: int
+    types: int
+    quantised: int
+    discount: float
+    head: tuple[np.ndarray, np.ndarray]
+    filters: tuple[Filter, Filter] | None
+    slices: DataFrame | None
 
 
 def _slices(rows: DataFrame, shards: int) -> Filter:
-    """The filter of slices that tasks have made; its size is bounded by ``MOST_BITS``."""
+    """The filter of slices that tasks have made; only called where they have ``MOST_BITS`` together at most."""
     sizes = np.ones(shards, np.int64)
     found = {}
     for r in rows.toLocalIterator():  # a partition at a time
@@ -273,7 +301,7 @@ def _slices(rows: DataFrame, shards: int) -> Filter:
 def train(texts: DataFrame) -> Model:
     """Counts of ``texts`` (one column, text) as a model."""
     spark = texts.sparkSession
-    shards = shards_of(spark)
+    shards = shards_of(spark, 2, text_bytes(texts), PER_SHARD)
     pair_rows = texts.mapInArrow(_counted(shards, True), COUNTED).groupBy("shard").applyInArrow(_pairs_shard(shards), PAIRS)
     pairs = written(pair_rows, "lm-pairs")
     word_rows = texts.mapInArrow(_counted(shards, False), COUNTED).selectExpr("shard", "h", "n", "0 as part")
@@ -284,11 +312,9 @@ def train(texts: DataFrame) -> Model:
     w = words.agg(F.sum("tokens"), F.sum("types"), F.sum("quantised"), F.sum("levels")).first()
     once, twice, pair_levels = (int(x or 0) for x in p)
     tokens, types, quantised, word_levels = (int(x or 0) for x in w)
-    bits = min(BITS, MOST_BITS / max(1, pair_levels + word_levels))
-
     def pair_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [blob(slice_of(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint8).astype(np.int64), bits)) for h, q in zip(batch.column(1), batch.column(2), strict=True)]
+            out = [blob(slice_of(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint8).astype(np.int64), BITS)) for h, q in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["shard", "slice"])
 
     def word_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,12 +322,17 @@ def train(texts: DataFrame) -> Model:
             out = []
             for h, n, t in zip(*batch.columns[1:], strict=True):
                 h, n, t = np.frombuffer(h.as_buffer(), np.uint64), *(np.frombuffer(x.as_buffer(), np.int64) for x in (n, t))
-                out.append(blob(slice_of(np.concatenate([h, h ^ _KIND_OF(h)]), np.concatenate([level(n), level(t)]), bits)))
+                out.append(blob(slice_of(np.concatenate([h, h ^ _KIND_OF(h)]), np.concatenate([level(n), level(t)]), BITS)))
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["shard", "slice"])
 
-    slices = "shard int, slice binary"
-    pair_filter = _slices(pairs.where("part = 0").select("shard", "h", "n").mapInArrow(pair_slices, slices), shards)
-    word_filter = _slices(words.select("shard", "h", "n", "t").mapInArrow(word_slices, slices), shards)
+    kind = "shard int, slice binary"
+    pair_rows = pairs.where("part = 0").select("shard", "h", "n").mapInArrow(pair_slices, kind)
+    word_rows = words.select("shard", "h", "n", "t").mapInArrow(word_slices, kind)
+    filters = slices = None
+    if (pair_levels + word_levels) * BITS <= MOST_BITS:
+        filters = _slices(word_rows, shards), _slices(pair_rows, shards)
+    else:
+        slices = written(word_rows.withColumnRenamed("slice", "words").join(pair_rows.withColumnRenamed("slice", "pairs"), "shard", "full"), "lm-slices")
     # The head: words of the highest levels, as many whole levels as fit.
     spread = words.select(F.posexplode("by_level").alias("q", "k")).groupBy("q").agg(F.sum("k").alias("k")).orderBy(F.desc("q")).collect()
     lowest, total = len(LOW) + 1, 0
@@ -322,7 +353,7 @@ def train(texts: DataFrame) -> Model:
     n = np.frombuffer(b"".join(r.n for r in top), np.int64)
     order = np.argsort(h)
     discount = once / (once + 2 * twice) if once else 0.5
-    return Model(words, shards, tokens, types, quantised, discount, word_filter, pair_filter, (h[order], n[order]))
+    return Model(words, shards, tokens, types, quantised, discount, (h[order], n[order]), filters, slices)
 
 
 def _KIND_OF(h: np.ndarray) -> np.ndarray:
@@ -333,64 +364,146 @@ def _KIND_OF(h: np.ndarray) -> np.ndarray:
 SCORED = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, shard int, h binary, rows binary"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of ``docs`` (id, text, held_out): n_tokens, n_known, base_score, score."""
-    spark, shards = docs.sparkSession, model.shards
-    shared = spark.sparkContext.broadcast((model.filters, model.head))
-    total = model.tokens + ADD * (model.types + 1)
-    quantised, discount = model.quantised + ADD * (model.types + 1), model.discount
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
+_SCHEMA = pa.schema([(f.split()[0], k) for f, k in zip(SCORED.split(", "), _KINDS, strict=True)])
+#: Levels of words' own keys, of their followers' keys, and of pairs.
+Levels = Callable[[np.ndarray], np.ndarray]
+
+
+class Scorer:
+    """Scores texts from the levels of their n-grams."""
+
+    def __init__(self, model: Model):
+        self.shards, self.discount = model.shards, model.discount
+        self.total = model.tokens + ADD * (model.types + 1)
+        self.quantised = model.quantised + ADD * (model.types + 1)
+
+    def rows(self, batch: pa.RecordBatch | pa.Table, row: int, head: tuple[np.ndarray, np.ndarray], words: Levels, pairs: Levels) -> Iterator[pa.RecordBatch]:
+        """Of rows (id, text, held_out), numbered from ``row``: their scores, and the words to be looked up."""
+        head_h, head_n = head
+        cols, tail_h, tail_row = [], [], []
+        for i, j, token, before, starts in _streams(batch.column(1), 1 << 19):
+            word, inv = np.unique(token, return_inverse=True)
+            at = np.searchsorted(head_h, word)
+            at[at == len(head_h)] = 0
+            exact = np.where(head_h[at] == word, head_n[at], 0) if len(head_h) else np.zeros(len(word), np.int64)
+            after = np.append(word, np.array([BEGIN]))
+            q = words(after)
+            t = lower(words(after ^ _KIND_OF(after)))
+            p1 = np.minimum((lower(q[:-1]) + ADD) / self.quantised, 1.0)
+            # u is the token before, or the beginning, whose place is last
+            u = np.concatenate([[len(word)], inv[:-1]])
+            u[starts] = len(word)
+            c, t, p1 = upper(q)[u], t[u], p1[inv]
+            q2 = lower(pairs(pair(before, token)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p2 = (np.maximum(q2 - self.discount, 0) + self.discount * t * p1) / c
+            p2 = np.where((c > 0) & (t > 0), np.minimum(p2, 1.0), p1)
+            known = exact > 0
+            base = np.where(known, np.log10((exact + ADD) / self.total), 0.0)
+            tail = ~known[inv]
+            lengths = np.diff(np.append(starts, len(token)))
+            tail_h.append(token[tail])
+            tail_row.append(row + np.repeat(np.arange(i, j), lengths)[tail])
+            cols.append((np.arange(i, j) + row, lengths, np.add.reduceat(known[inv].astype(np.int64), starts), np.add.reduceat(base[inv], starts), _experts(p1, p2, starts)))
+        if not cols:
+            return
+        number, n, known, base, lp = (np.concatenate(x) for x in zip(*cols, strict=True))
+        nul = [pa.nulls(len(number), k) for k in _KINDS[7:]]
+        own = [_one(batch.column(0)).cast(pa.int64()), _one(batch.column(2))]
+        yield pa.record_batch([pa.array(number), *own, pa.array(n), pa.array(known), pa.array(base), pa.array(lp), *nul], schema=_SCHEMA)
+        h, r = np.concatenate(tail_h), np.concatenate(tail_row)
+        rows = list(packed(np.stack([h.view(np.int64), r], axis=1), shard_of(h, self.shards), self.shards))
+        nul = [pa.nulls(len(rows), k) for k in _KINDS[:7]]
+        yield pa.record_batch([*nul, pa.array([k for k, _ in rows], pa.int32()), pa.array([blob(x[:, 0]) for _, x in rows], pa.binary()), pa.array([blob(x[:, 1]) for _, x in rows], pa.binary())], schema=_SCHEMA)
+
+
+def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``SCORED``, with the whole filter in every task."""
+    shared, scorer = docs.sparkSession.sparkContext.broadcast((model.filters, model.head)), Scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (word_filter, pair_filter), (head_h, head_n) = shared.value
-        base_row = TaskContext.get().partitionId() << 36
-        begin = np.array([BEGIN])
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()]
-        names = [f.split()[0] for f in SCORED.split(", ")]
+        (word_filter, pair_filter), head = shared.value
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            cols, tail_h, tail_row = [], [], []
-            for i, j, token, before, starts in _streams(batch.column(1)):
-                word, inv = np.unique(token, return_inverse=True)
-                at = np.searchsorted(head_h, word)
-                at[at == len(head_h)] = 0
-                exact = np.where(head_h[at] == word, head_n[at], 0) if len(head_h) else np.zeros(len(word), np.int64)
-                q = word_filter.levels(np.append(word, begin))
-                after = np.append(word, begin)
-                t = lower(word_filter.levels(after ^ _KIND_OF(after)))
-                p1 = (lower(q[:-1]) + ADD) / quantised
-                # u is the token before, or the beginning, whose place is last
-                u = np.concatenate([[len(word)], inv[:-1]])
-                u[starts] = len(word)
-                c, t, p1 = upper(q)[u], t[u], p1[inv]
-                q2 = lower(pair_filter.levels(pair(before, token)))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p2 = (np.maximum(q2 - discount, 0) + discount * t * p1) / c
-                p2 = np.where((c > 0) & (t > 0), np.minimum(p2, 1.0), p1)
-                known = exact > 0
-                base = np.where(known, np.log10((exact + ADD) / total), 0.0)
-                tail = ~known[inv]
-                tail_h.append(token[tail])
-                tail_row.append(base_row + np.repeat(np.arange(i, j), np.diff(np.append(starts, len(token))))[tail])
-                cols.append(
-                    (
-                        np.arange(i, j) + base_row,
-                        np.diff(np.append(starts, len(token))),
-                        np.add.reduceat(known[inv].astype(np.int64), starts),
-                        np.add.reduceat(base[inv], starts),
-                        _experts(p1, p2, starts),
-                    )
-                )
-            if not cols:
-                continue
-            row, n, known, base, lp = (np.concatenate(x) for x in zip(*cols, strict=True))
-            nul = [pa.nulls(len(row), k) for k in kinds[7:]]
-            yield pa.record_batch([pa.array(row), batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n), pa.array(known), pa.array(base), pa.array(lp), *nul], schema=pa.schema(list(zip(names, kinds, strict=True))))
-            h, r = np.concatenate(tail_h), np.concatenate(tail_row)
-            rows = list(packed(np.stack([h.view(np.int64), r], axis=1), shard_of(h, shards), shards))
-            nul = [pa.nulls(len(rows), k) for k in kinds[:7]]
-            yield pa.record_batch([*nul, pa.array([k for k, _ in rows], pa.int32()), pa.array([blob(x[:, 0]) for _, x in rows], pa.binary()), pa.array([blob(x[:, 1]) for _, x in rows], pa.binary())], schema=pa.schema(list(zip(names, kinds, strict=True))))
-            base_row += len(batch)
+            yield from scorer.rows(batch, row, head, word_filter.levels, pair_filter.levels)
+            row += len(batch)
+
+    return docs.mapInArrow(run, SCORED)
+
+
+def _probed(asked: pa.Table, slices: pa.Table) -> pa.Table:
+    """Levels of what the units ask of one shard's slices."""
+    out = {"unit": [], "pair": [], "h": [], "q": []}
+    for name in ("words", "pairs"):
+        stored = [np.frombuffer(x, np.uint64) for x in slices.column(name).to_pylist() if x] if len(slices) else []
+        own = Filter(stored[:1])
+        for unit, pairs, h in zip(*(asked.column(c).to_pylist() for c in ("unit", "pair", "h")), strict=True):
+            if pairs == (name == "pairs"):
+                h = np.frombuffer(h, np.uint64)
+                for c, x in zip(out, (unit, pairs, blob(h), blob(own.levels(h).astype(np.uint8))), strict=True):
+                    out[c].append(x)
+    return pa.table([pa.array(x, k) for x, k in zip(out.values(), (pa.int64(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=list(out))
+
+
+def _by_shuffle(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``SCORED``, with the filter in its slices: units of texts send their n-grams there and get levels back."""
+    shards, scorer = model.shards, Scorer(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.head)
+    fields = "unit long, id long, text string, held_out boolean"
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        unit, size, rows = TaskContext.get().partitionId() << 28, 0, 0
+        for batch in batches:
+            units = np.zeros(len(batch), np.int64)
+            for r, n in enumerate(np.diff(bytes_of(batch.column(1))[1])):
+                if rows and (size + n > UNIT or rows >= UNIT_ROWS):
+                    unit, size, rows = unit + 1, 0, 0
+                units[r], size, rows = unit, size + int(n), rows + 1
+            yield pa.record_batch([pa.array(units), batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2)], names=["unit", "id", "text", "held_out"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(units)) + 1, [len(units)]]) if len(units) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                found = [[np.array([BEGIN, BEGIN ^ _KIND_OF(np.array([BEGIN]))[0]])], []]
+                for _, _, token, before, _ in _streams(batch.column(2).slice(i, j - i), 1 << 19):
+                    word = np.unique(token)
+                    found[0] += [word, word ^ _KIND_OF(word)]
+                    found[1].append(np.unique(pair(before, token)))
+                distinct = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in found]
+                rows = [(k, p, h) for p, own in enumerate(distinct) for k, h in packed(own, shard_of(own, shards), shards)]
+                yield pa.record_batch([pa.array([k for k, _, _ in rows], pa.int32()), pa.array(np.full(len(rows), units[i])), pa.array([bool(p) for _, p, _ in rows]), pa.array([blob(h) for *_, h in rows], pa.binary())], names=["shard", "unit", "pair", "h"])
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        known = {}
+        for p in (False, True):
+            part = answers.filter(pa.compute.equal(answers.column("pair"), p))
+            h, q = joined(part.column("h"), np.uint64), joined(part.column("q"), np.uint8)
+            order = np.argsort(h)
+            known[p] = h[order], q[order].astype(np.int64)
+        find = lambda p: lambda h: known[p][1][np.searchsorted(known[p][0], h)]  # noqa: E731  all were asked for
+        out = list(scorer.rows(own.select(["id", "text", "held_out"]), own.column("unit")[0].as_py() << 16, shared.value, find(False), find(True))) if len(own) else []
+        return pa.Table.from_batches(out, _SCHEMA)
+
+    units = written(docs.mapInArrow(dealt, fields), "lm-units")
+    requests = units.mapInArrow(asked, "shard int, unit long, pair boolean, h binary")
+    answers = requests.groupBy("shard").cogroup(model.slices.groupBy("shard")).applyInArrow(_probed, "unit long, pair boolean, h binary, q binary")
+    return units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(run, SCORED)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``docs`` (id, text, held_out): n_tokens, n_known, base_score, score."""
+    total = Scorer(model).total
 
     def lookup(asked: pa.Table, counts: pa.Table) -> pa.Table:
         """Exact counts of the words that are not in the head, summed by row."""
@@ -404,7 +517,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known = np.bincount(inv, weights=c > 0, minlength=len(row)).astype(np.int64)
         return pa.table({"row": row, "base": base, "n_known": known})
 
-    found = written(docs.mapInArrow(run, SCORED), "lm-scored")
+    found = written((_by_broadcast if model.filters else _by_shuffle)(docs, model), "lm-scored")
     asked = found.where("shard is not null").select("shard", "h", "rows")
     tail = asked.groupBy("shard").cogroup(model.words.select("shard", "h", "n").groupBy("shard")).applyInArrow(lookup, "row long, base double, n_known long")
     tail = tail.groupBy("row").agg(F.sum("base").alias("more"), F.sum("n_known").alias("also"))
