@@ -52,8 +52,8 @@ from tidewright.llm.shared import shards_of, text_bytes, written
 from tidewright.llm.tokens import blob, bytes_of, each_run, joined, mix, packed, shard_of
 from tidewright.sources.tables import table
 
-#: Bits a stored level; most bits of a filter that is broadcast (128 MB); most words whose exact counts are broadcast.
-BITS, MOST_BITS, HEAD = 12, 1 << 30, 1 << 20
+#: Bits a stored level; most bits of a filter that is broadcast (256 MB); most words whose exact counts are broadcast.
+BITS, MOST_BITS, HEAD = 12, 1 << 31, 1 << 20
 #: Bytes of texts for each shard of counts; tokens that are counted or sent at once; bytes and rows of a unit.
 PER_SHARD, PORTION, UNIT, UNIT_ROWS = 1 << 25, 1 << 20, 1 << 22, 1 << 16
 #: Smoothing of the word probabilities.
