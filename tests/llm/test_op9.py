@@ -40,7 +40,9 @@ def test_links_against_brute_force(spark):
     rows = [(int(i), e) for i, e in rows]
     rows += [(5000, None), (5001, []), (5002, [0.0] * 24), (5003, [float("nan")] * 24), (5004, [None] + [1.0] * 23), (5005, [float("inf")] + [1.0] * 23), (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (None, rows[0][1])]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as node").repartition(4)
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in d.near_embeddings(docs, least_shards=3).collect()}
+    out = d.near_embeddings(docs, least_shards=3).collect()
+    assert out[0].audited_links > 100 and out[0].audited_recall >= d.RECALL
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in out}
     none = got.pop(None)
     assert none == (0, None, True)
     want = brute(rows)
@@ -50,8 +52,26 @@ def test_links_against_brute_force(spark):
     assert sum(got[i][1:] == want[i][1:] for i in want) >= 0.98 * len(want)
 
 
+def test_recall_with_planted_copies_among_many(spark):
+    """10,000 vectors of which few have links: all searched in every shard, and the audit sees links."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(9000, 32)).astype(np.float32)
+    y = (x[:1000] + r.normal(size=(1000, 32)) * r.choice([0.1, 0.3, 0.45], size=(1000, 1))).astype(np.float32)
+    z = np.concatenate([x, y])
+    u = z.astype(float) / np.linalg.norm(z.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= d.LEAST).sum(axis=1) - 1
+    assert want.sum() > 1000
+    rows = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(z)], SCHEMA).repartition(4)
+    got = d.near_embeddings(rows).collect()
+    n = np.zeros(len(z), int)
+    for row in got:
+        n[row.vec_id] = row.n_links
+    assert (n <= want).all() and n.sum() >= 0.97 * want.sum()
+    assert got[0].audited_links > 50 and got[0].audited_recall >= d.RECALL
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
-    got = sorted(tuple(x) for x in d.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
+    got = sorted(tuple(x)[:4] for x in d.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
     assert d.near_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0

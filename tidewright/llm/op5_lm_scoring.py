@@ -164,6 +164,9 @@ def _counted(shards: int, pairs: bool):
         h, u, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         h, first, inv = np.unique(h, return_index=True, return_inverse=True)
         n = np.bincount(inv, weights=n).astype(np.uint32)
+        if pairs:  # pairs of one first word together: runs of it take next to nothing when compressed
+            order = np.argsort(u[first], kind="stable")
+            h, first, n = h[order], first[order], n[order]
         rows = list(packed(np.arange(len(h)), shard_of(h, shards), shards))
         return pa.record_batch(
             [

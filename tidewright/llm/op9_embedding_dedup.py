@@ -1,13 +1,17 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one for each shard.
 
 Vectors of equal components are one node. Nodes are dealt into shards by hash, each shard builds
-its graph in one task, and every node queries the graph of every shard, in blocks of queries that
-are dealt over tasks. A beam search evaluates neighbours until its beam holds no unexpanded node;
-all evaluated nodes of cosine ``LEAST`` or more, in double precision, are links. Where a whole beam
-is above the threshold, more may lie beyond it, and these queries are repeated with a beam four times
-as wide. Each block is audited: for some of its queries the shard is scanned by brute force, and
-if the links found are less than ``RECALL`` of all, the block is searched again with wider beams,
-at the end as wide as the shard.
+its graph in one task, and every node queries the graph of every shard, in slices of ``SLICE`` queries:
+a task reads one shard's graph once and streams a slice through it. A beam search evaluates neighbours
+until its beam holds no unexpanded node; all evaluated nodes of cosine ``LEAST`` or more, in double
+precision, are links. Where a whole beam is above the threshold, more may lie beyond it, and these
+queries are repeated with a beam four times as wide, or by a scan of the shard once that is cheaper.
+
+Each task audits itself: for some of its queries the shard is scanned by brute force, more and more of
+them until ``TRUE_LINKS`` links to other nodes have been seen or ``AUDITED`` queries scanned. If fewer than
+``RECALL`` of these links were found, the slice is searched again with wider beams, at the end as wide as the
+shard. The numbers of links that the audits saw and found are summed over all tasks and returned, and
+if together they fall short, all is searched again with wider beams.
 
 A task returns each query's number of links and a spanning forest of the links found, not the
 links, so what a dense group gives is linear in its vectors. Components follow by contraction.
@@ -19,8 +23,11 @@ Defined results
 ---------------
 * vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as
   do rows without an id. Vectors of different lengths never link.
-* repeated vectors (also rows of one id) count as links of each other: n_links counts other rows.
-* an empty table gives an empty table; other columns are not read.
+* repeated vectors (also rows of one id) count as links of each other: n_links counts other rows. Equal
+  vectors are counted, not searched, so a vector that a third of all rows hold costs no more than one.
+* ties: the smallest id of a component names it and is kept, in each of its rows if it is repeated.
+* a vector may be of any length, in single precision; an empty table gives an empty table; other columns
+  are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,17 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.graph import components
+from tidewright.llm.graph import components, least_of
 from tidewright.llm.shared import written
 from tidewright.llm.tokens import blob, mix
 from tidewright.sources.tables import table
 
-#: Least cosine; least shards and most nodes of one; queries of a block and blocks of a task.
-LEAST, SHARDS, PER_SHARD, QUERIES, PER_TASK = 0.9, 6, 50_000, 512, 8
+#: Least cosine; least shards and most nodes of one; queries of a block and of a task.
+LEAST, SHARDS, PER_SHARD, QUERIES, SLICE = 0.9, 6, 200_000, 512, 16_384
 #: Neighbours of a node above the ground level (twice as many on it), beams, nodes expanded at once.
-DEGREE, BEAM_BUILD, BEAM, EXPAND = 12, 48, 48, 4
-#: Queries of a block that are audited, and the part of their links that must be found.
-AUDITED, RECALL = 24, 0.98
+DEGREE, BEAM_BUILD, BEAM, EXPAND = 10, 32, 16, 4
+#: A scan of the shard costs less than a beam of more than this part of it.
+SCAN = 8
+#: Queries that a task audits first and at most, links it must see to stop, and the part that must be found.
+FIRST, AUDITED, TRUE_LINKS, RECALL = 64, 1024, 200, 0.98
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -58,7 +67,7 @@ class Graph:
 
     def __init__(self, vectors: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]] | None = None):
         self.raw = vectors
-        self.x = (vectors / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+        self.x = _unit(vectors)
         self.levels = levels if levels is not None else self._built()
 
     def _built(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -126,7 +135,7 @@ class Graph:
                 continue
             more = more[:, keep]
             seen[rows, more] = True
-            fresh = np.einsum("bmd,bd->bm", self.x[nodes[np.minimum(more, n - 1)]], q)
+            fresh = (self.x[nodes[np.minimum(more, n - 1)]] @ q[:, :, None])[:, :, 0]
             fresh[more == n] = -2.0
             if least < 2:
                 i, j = np.nonzero(fresh >= least)
@@ -145,7 +154,7 @@ class Graph:
         good = (sims > -2) & (ids != own[:, None])
         good[:, 1:] &= ids[:, 1:] != ids[:, :-1]
         vec = self.x[nodes[np.minimum(np.maximum(ids, 0), n - 1)]]
-        between = np.einsum("bid,bjd->bij", vec, vec)
+        between = vec @ vec.transpose(0, 2, 1)
         taken = np.zeros(ids.shape, bool)
         for j in range(ids.shape[1]):
             nearer = (taken[:, :j] & (between[:, j, :j] > sims[:, j, None])).any(axis=1)
@@ -172,54 +181,55 @@ class Graph:
         into, first, count = np.unique(dst, return_index=True, return_counts=True)
         most = 2 * width  # of many that point to one node, the nearest are looked at
         for i in range(0, len(into), QUERIES):
-            own = into[i : i + QUERIES]
-            c = np.minimum(count[i : i + QUERIES], most)
-            extra = np.full((len(own), int(c.max())), -1, np.int64)
-            for k, (f, m) in enumerate(zip(first[i : i + QUERIES], count[i : i + QUERIES], strict=True)):
-                who = src[f : f + m]
-                if m > most:
-                    who = who[np.argsort(-(self.x[nodes[who]] @ self.x[nodes[own[k]]]))[:most]]
-                extra[k, : len(who)] = who
+            own, f, m = into[i : i + QUERIES], first[i : i + QUERIES], count[i : i + QUERIES]
+            at = np.arange(min(int(m.max()), most))
+            extra = np.where(at < m[:, None], src[np.minimum(f[:, None] + at, len(src) - 1)], -1)
+            for k in np.flatnonzero(m > most):
+                who = src[f[k] : f[k] + m[k]]
+                extra[k] = who[np.argsort(-(self.x[nodes[who]] @ self.x[nodes[own[k]]]))[:most]]
             ids = np.sort(np.concatenate([near[own], extra], 1), axis=1)
             sims = np.einsum("bmd,bd->bm", self.x[nodes[np.maximum(ids, 0)]], self.x[nodes[own]])
             sims[ids < 0] = -2.0
             sims[:, 1:][ids[:, 1:] == ids[:, :-1]] = -2.0
             near[own] = self._chosen(own, ids, sims, nodes, width)
 
-    def links(self, raw: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of all links found for a block of queries, audited against brute force."""
-        q = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    def links(self, raw: np.ndarray, ef: int, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the links found for a block of queries with beams of ``ef`` or wider."""
+        q = _unit(raw)
         ground, near = self.levels[-1]
-        n, ef, rough = len(ground), BEAM, least - 1e-4
-        sample = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(int))
-        truth = self.x @ q[sample].T >= rough
+        n, rough = len(ground), least - 1e-4
         entry = self._entries(q)
-        while True:
-            parts, todo, wide = [], np.arange(len(q)), ef
-            while len(todo):
-                again = []
-                step = max(1, min(QUERIES, (1 << 24) // (n + 1)))
-                for i in range(0, len(todo), step):
-                    own = todo[i : i + step]
+        parts, todo, wide = [], np.arange(len(q)), ef
+        while len(todo):
+            again = []
+            step = max(1, min(QUERIES, (1 << 24) // (n + 1)))
+            for i in range(0, len(todo), step):
+                own = todo[i : i + step]
+                if wide * SCAN >= n:
+                    hits = np.stack(np.nonzero(q[own] @ self.x.T >= rough))
+                    full = np.zeros(len(own), bool)
+                else:
                     _, sims, hits = self._beam(q[own], entry[own][:, None], wide, ground, near, rough)
-                    full = (sims[:, -1] >= rough) if wide < n else np.zeros(len(own), bool)
-                    again.append(own[full])
-                    keep = ~full[hits[0]]
-                    parts.append(np.stack([own[hits[0][keep]], hits[1][keep]]))
-                todo, wide = np.concatenate(again), wide * 4
-            i, j = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
-            found = np.zeros((len(q), 1), np.int64)
-            np.add.at(found[:, 0], i, 1)
-            want = truth.sum(axis=0)
-            if not want.sum() or found[sample, 0].sum() >= RECALL * want.sum() or ef >= n:
-                break
-            ef *= 4
-            if ef >= n:  # as wide as the shard: every node is looked at
-                i, j = np.nonzero(q @ self.x.T >= rough)
-                break
-        a, b = raw[i].astype(np.float64), self.raw[j].astype(np.float64)
-        cos = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
-        return i[cos >= least], j[cos >= least]
+                    full = sims[:, -1] >= rough
+                again.append(own[full])
+                i_, j_ = hits[:, ~full[hits[0]]]
+                parts.append(self._exact(raw, own[i_], j_, least))
+            todo, wide = np.concatenate(again), wide * 4
+        i, j = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+        return i, j
+
+    def _exact(self, raw: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+        """Those pairs of a query and a node that reach the threshold in double precision."""
+        keep = []
+        for k in range(0, len(i), 1 << 16):
+            a, b = raw[i[k : k + (1 << 16)]].astype(np.float64), self.raw[j[k : k + (1 << 16)]].astype(np.float64)
+            keep.append(np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b)) >= least)
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        return np.stack([i[keep], j[keep]])
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    return (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,32 +263,63 @@ def _built(group: pa.Table) -> pa.Table:
     )
 
 
-def _searched(queries: pa.Table, index: pa.Table) -> pa.Table:
-    """Numbers of links (row = 1) and a forest of the links (row = 0) of some queries in one shard."""
-    node, n, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(queries) and len(index):
-        get = lambda c, kind: np.frombuffer(index.column(c)[0].as_py(), kind)
-        nodes, copies = get("nodes", np.int64), get("copies", np.int64)
-        dim = index.column("dim")[0].as_py()
-        flat = [np.frombuffer(v, np.int64) for v in index.column("levels")[0].as_py()]
-        levels = [(x, y.reshape(len(x), -1)) for x, y in zip(flat[::2], flat[1::2], strict=True)]
-        g = Graph(get("vectors", np.float32).reshape(-1, dim), levels)
-        own = queries.column("node").to_numpy()
-        x = np.frombuffer(b"".join(queries.column("vector").to_pylist()), np.float32).reshape(-1, dim)
-        for i in range(0, len(own), QUERIES):
-            q, v = g.links(x[i : i + QUERIES])
-            mine = own[i : i + QUERIES]
-            n.append(np.bincount(q, weights=np.where(nodes[v] == mine[q], copies[v] - 1, copies[v]), minlength=len(mine)).astype(np.int64))
-            node.append(mine)
-            e, f = forest(mine[q], nodes[v])
-            a.append(e[e != f])
-            b.append(f[e != f])
-    node, n, a, b = (np.concatenate(x) for x in (node, n, a, b))
-    return pa.table({"a": np.concatenate([node, a]), "b": np.concatenate([n, b]), "row": pa.array(np.repeat([1, 0], [len(node), len(a)]).astype(np.int32))})
+def _audit(g: Graph, x: np.ndarray, own: np.ndarray, nodes: np.ndarray) -> list[tuple[int, set[int]]]:
+    """For some of the queries ``x`` (nodes ``own``) the places of all their links to other nodes, by scanning the shard."""
+    order, out, seen = np.argsort(mix(own.astype(np.uint64)), kind="stable")[:AUDITED], [], 0
+    at, step = 0, FIRST
+    while at < len(order) and (not out or seen < TRUE_LINKS):
+        some = order[at : at + step]
+        i, j = np.nonzero(_unit(x[some]) @ g.x.T >= LEAST - 1e-4)
+        i, j = g._exact(x, some[i], j, LEAST)
+        other = nodes[j] != own[i]
+        i, j = i[other], j[other]
+        out += [(int(k), set(j[i == k].tolist())) for k in some]
+        seen, at, step = seen + len(i), at + step, step * 2
+    return out
+
+
+def _searched(ef: int):
+    """Of some queries in one shard: numbers of links (row = 1), a forest of the links (row = 0), and
+    links that the audit saw and found (row = 2)."""
+
+    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
+        rows = [np.zeros((3, 0), np.int64)]
+        if len(queries) and len(index):
+            get = lambda c, kind: np.frombuffer(index.column(c)[0].as_py(), kind)
+            nodes, copies = get("nodes", np.int64), get("copies", np.int64)
+            dim = index.column("dim")[0].as_py()
+            flat = [np.frombuffer(v, np.int64) for v in index.column("levels")[0].as_py()]
+            levels = [(x, y.reshape(len(x), -1)) for x, y in zip(flat[::2], flat[1::2], strict=True)]
+            g = Graph(get("vectors", np.float32).reshape(-1, dim), levels)
+            own = queries.column("node").to_numpy()
+            x = np.frombuffer(b"".join(queries.column("vector").to_pylist()), np.float32).reshape(-1, dim)
+            truth, wide = _audit(g, x, own, nodes), ef
+            true = sum(len(t) for _, t in truth)
+            while True:
+                found, audited = [], {k: 0 for k, _ in truth}
+                for i in range(0, len(own), QUERIES):
+                    mine = own[i : i + QUERIES]
+                    q, v = g.links(x[i : i + QUERIES], wide)
+                    other = nodes[v] != mine[q]  # copies of the query itself are known
+                    q, v = q[other], v[other]
+                    n = np.bincount(q, weights=copies[v], minlength=len(mine)).astype(np.int64)
+                    pairs = np.bincount(q, minlength=len(mine))
+                    audited |= {k: int(pairs[k - i]) for k in audited if i <= k < i + len(mine)}
+                    e, f = forest(mine[q], nodes[v])
+                    found += [np.stack([mine, n, np.ones_like(n)]), np.stack([e, f, np.zeros_like(e)])[:, e != f]]
+                if sum(audited.values()) >= RECALL * true or wide * SCAN >= len(nodes):
+                    break
+                wide *= 4
+            rows += [*found, np.array([[true], [sum(audited.values())], [2]])]
+        a, b, kind = np.concatenate(rows, axis=1)
+        return pa.table({"a": a, "b": b, "row": pa.array(kind.astype(np.int32))})
+
+    return run
 
 
 def near_embeddings(vectors: DataFrame, least_shards: int = SHARDS) -> DataFrame:
-    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept; and the same in all rows,
+    audited_links and audited_recall: links that the audits saw, and the part of them that was found (null: none seen)."""
     e = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e)
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
@@ -296,23 +337,34 @@ def near_embeddings(vectors: DataFrame, least_shards: int = SHARDS) -> DataFrame
         groups.select("node", "copies", "embedding").mapInArrow(as_bytes, "node long, copies long, vector binary").withColumn("dim", F.expr("cast(length(vector) / 4 as int)")), "vectors-nodes"
     )
     n = nodes.count()
-    shards = max(least_shards, -(-n // PER_SHARD))
-    tasks = -(-n // (QUERIES * PER_TASK))
+    shards, slices = max(least_shards, -(-n // PER_SHARD)), max(1, -(-n // SLICE))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     index = written(dealt.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, nodes binary, copies binary, vectors binary, levels array<binary>"), "vectors-index")
-    asked = nodes.withColumn("task", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(max(1, tasks))).cast("int"))
+    asked = nodes.withColumn("task", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(slices)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "task", "node", "vector")
-    spread = index.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(max(0, tasks - 1)))))
-    keys = ("dim", "shard", "task")
-    found = written(asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searched, "a long, b long, row int"), "vectors-found")
+    spread = index.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    keys, ef = ("dim", "shard", "task"), BEAM
+    while True:
+        found = written(asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searched(ef), "a long, b long, row int"), "vectors-found")
+        true, seen = found.where("row = 2").agg(F.sum("a"), F.sum("b")).first()
+        if not true or seen >= RECALL * true or ef * SCAN >= n:
+            break
+        ef *= 4
     counts = found.where("row = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     roots = written(components(found.where("row = 0").select("a", "b")), "vectors-roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
-    by_node = groups.select("key", "node").join(counts, "node", "left").join(roots.join(least, "root").select("node", "component_id"), "node", "left")
-    by_node = by_node.select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    least = least_of(roots, roots.select("node", F.col("node").alias("value"))).withColumnRenamed("least", "component_id")
+    by_node = groups.select("key", "node", "copies").join(counts, "node", "left").join(least, "node", "left")
+    by_node = by_node.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
     out = rows.select("vec_id", "key").join(by_node, "key", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.lit(true or 0).cast("long").alias("audited_links"),
+        F.lit(seen / true if true else None).cast("double").alias("audited_recall"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
