@@ -47,9 +47,9 @@ from tidewright.sources.tables import table
 #: Least cosine; least shards and most nodes of one; queries of a block and of a task.
 LEAST, SHARDS, PER_SHARD, QUERIES, SLICE = 0.9, 6, 200_000, 512, 16_384
 #: Neighbours of a node above the ground level (twice as many on it), beams, nodes expanded at once.
-DEGREE, BEAM_BUILD, BEAM, EXPAND = 10, 32, 16, 4
-#: A scan of the shard costs less than a beam of more than this part of it.
-SCAN = 8
+DEGREE, BEAM_BUILD, BEAM, EXPAND = 12, 48, 16, 4
+#: A scan of a shard of n nodes costs no more than a beam of n / SCAN, as it gathers no rows; only wider beams give way to it.
+SCAN = 64
 #: Queries that a task audits first and at most, links it must see to stop, and the part that must be found.
 FIRST, AUDITED, TRUE_LINKS, RECALL = 64, 1024, 200, 0.98
 
@@ -205,7 +205,7 @@ class Graph:
             step = max(1, min(QUERIES, (1 << 24) // (n + 1)))
             for i in range(0, len(todo), step):
                 own = todo[i : i + step]
-                if wide * SCAN >= n:
+                if wide > BEAM and wide * SCAN >= n:
                     hits = np.stack(np.nonzero(q[own] @ self.x.T >= rough))
                     full = np.zeros(len(own), bool)
                 else:
@@ -307,7 +307,7 @@ def _searched(ef: int):
                     audited |= {k: int(pairs[k - i]) for k in audited if i <= k < i + len(mine)}
                     e, f = forest(mine[q], nodes[v])
                     found += [np.stack([mine, n, np.ones_like(n)]), np.stack([e, f, np.zeros_like(e)])[:, e != f]]
-                if sum(audited.values()) >= RECALL * true or wide * SCAN >= len(nodes):
+                if sum(audited.values()) >= RECALL * true or wide > BEAM and wide * SCAN >= len(nodes):
                     break
                 wide *= 4
             rows += [*found, np.array([[true], [sum(audited.values())], [2]])]
@@ -347,7 +347,7 @@ def near_embeddings(vectors: DataFrame, least_shards: int = SHARDS) -> DataFrame
     while True:
         found = written(asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searched(ef), "a long, b long, row int"), "vectors-found")
         true, seen = found.where("row = 2").agg(F.sum("a"), F.sum("b")).first()
-        if not true or seen >= RECALL * true or ef * SCAN >= n:
+        if not true or seen >= RECALL * true or ef > BEAM and ef * SCAN >= n:
             break
         ef *= 4
     counts = found.where("row = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
