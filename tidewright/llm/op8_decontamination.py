@@ -6,10 +6,9 @@ two strides of words, and a stride is no shorter than the longest item, so an it
 some passage. A passage queries with its distinct words and retrieves every item of which it
 reaches ``SCORE``.
 
-Items are in blocks, with the largest weight of each word in a block. As in block-max WAND, a
-block of items is left out for a passage if the sum of these bounds cannot reach the threshold;
-words that are in most blocks are not looked up block by block but counted at their largest
-weight. Bounds are summed for all passages of a run of texts at once. What is left is scored
+Items are in blocks, with the largest weight of each word in a block. As in block-max WAND, each passage
+has a pivot among its words, only the lists from the pivot on are walked, and a block is skipped if
+its maxima cannot reach the threshold (``Index.candidates``). What is left is scored
 exactly, and verified: the item's question and its answer must each be found in the passage, by
 shares of their word n-grams.
 
@@ -19,8 +18,10 @@ Defined results
   of one sentence is question and answer at once.
 * null, empty or blank texts and items match nothing. Repeated rows match alike; results are by
   (doc_id, item_id), so rows of one id are one document there, and the best passage counts.
-* items are broadcast in parts of at most ``PART_BYTES`` of text, the documents are searched once
-  for each part; weights follow the items of a part. An item beyond that size is a part alone.
+* weights, mean length and width of a passage follow all items. Their index is broadcast in parts of
+  about ``PART_BYTES`` of text, one after the other, and the documents are searched once for each part.
+* ties: of passages of one document that hold an item alike, that of the higher BM25 counts. A text may be of any
+  length, in passages. Columns besides those named are not read, or kept as they are.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.shared import written
 from tidewright.llm.tokens import BREAKS, each_run, mix, words
 from tidewright.sources.tables import table
 
@@ -78,47 +80,86 @@ def _shares(checks: tuple, passage: np.ndarray) -> list[float]:
     return [float(np.isin(g, _ngrams(passage, n)).mean()) if len(g) else 1.0 for g, n in checks]
 
 
+class Statistics:
+    """What BM25 takes from all items: their number, mean length, the words of the longest, and items by word."""
+
+    def __init__(self, items: int, mean: float, longest: int, terms: np.ndarray, df: np.ndarray):
+        self.items, self.mean, self.longest, self.terms, self.df = items, mean, longest, terms, df
+
+    @classmethod
+    def of(cls, found: list[np.ndarray]) -> "Statistics":
+        """Of the words of all items."""
+        terms, df = np.unique(np.concatenate([np.unique(w) for w in found] or [np.zeros(0, np.uint64)]), return_counts=True)
+        return cls(len(found), float(np.mean([len(w) for w in found])) if found else 1.0, max(map(len, found), default=0), terms, df)
+
+
 class Index:
-    """Inverted index of items with bounds by block."""
+    """Inverted index of items, or of a part of them, with bounds by block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         found = [(i, t, _hashes(t)) for i, t in items]
         found = sorted((x for x in found if len(x[2])), key=lambda x: (len(x[2]), x[0]))
+        whole = whole or Statistics.of([w for *_, w in found])
         self.items = [x[0] for x in found]
         self.checks = [tuple(_check(p) for p in parts(t)) for _, t, _ in found]
         counts = [np.unique(w, return_counts=True) for _, _, w in found]
-        self.terms, df = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.uint64)]), return_counts=True)
-        idf = np.log(1 + (len(found) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(w) for _, _, w in found]) if found else 1.0
-        self.stride = max([STRIDE, *(len(w) for _, _, w in found)])
+        self.terms = np.unique(np.concatenate([c[0] for c in counts] or [np.zeros(0, np.uint64)]))
+        df = whole.df[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+        self.stride = max(STRIDE, whole.longest)
         self.weights, owner, block = [], [], []
         for k, ((_, _, w), (terms, tf)) in enumerate(zip(found, counts, strict=True)):
             t = np.searchsorted(self.terms, terms)
-            x = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+            x = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / whole.mean))
             self.weights.append((t, x / x.sum(), x.sum()))
             owner.append(t)
             block.append(np.full(len(t), k // BLOCK))
         self.blocks = -(-len(found) // BLOCK)
         t, b, x = (np.concatenate(v) if v else np.zeros(0) for v in (owner, block, [w[1] for w in self.weights]))
-        # The largest weight of each word in each block, by word.
+        # The largest weight of each word in each block, by word; and of each word in all.
         order = np.lexsort((b, t))
         t, b, x = t[order].astype(np.int64), b[order].astype(np.int64), x[order]
         new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (b[1:] != b[:-1])])) if len(t) else np.zeros(0, np.int64)
         x = np.maximum.reduceat(x, new) if len(new) else x
         t, b = t[new], b[new]
         self.start = np.searchsorted(t, np.arange(len(self.terms) + 1))
-        self.block_of, self.bound = b, x
-        # Words that are in many blocks: their bounds as a matrix, and their rows in it.
-        common = np.flatnonzero(np.diff(self.start) > max(2, self.blocks // 4))
-        self.row_of = np.full(len(self.terms), -1, np.int64)
-        self.row_of[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), self.blocks), np.float32)
-        for k, c in enumerate(common):
-            own = slice(self.start[c], self.start[c + 1])
-            self.matrix[k, b[own]] = x[own]
+        self.block_of, self.bound, self.cells = b, x, t * self.blocks + b
+        self.largest = np.maximum.reduceat(x, self.start[:-1]) if len(x) else x
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def candidates(self, span: np.ndarray, t: np.ndarray, spans: int) -> np.ndarray:
+        """Cells (passage times blocks plus block) that may reach ``SCORE``, of the distinct words ``t`` of passages ``span``.
+
+        A passage's words are put in order of their largest weight. Up to its pivot, the word at which these
+        sum up to the threshold, they cannot reach it on their own: so an item that does holds the pivot or a word
+        after it, and only the lists of these are walked. A block they lead to is skipped if it falls short
+        with the largest weights of the words before the pivot, and then with their maxima in this block.
+        """
+        order = np.lexsort((self.largest[t], span))
+        span, t = span[order], t[order]
+        most = self.largest[t]
+        start = np.searchsorted(span, np.arange(spans + 1))
+        sums = np.concatenate([[0.0], np.cumsum(most)])
+        before = sums[1:] - sums[start[span]] < SCORE - 1e-5
+        n_before = np.bincount(span[before], minlength=spans)
+        rest = np.bincount(span[before], weights=most[before], minlength=spans)
+        s, w = span[~before], t[~before]
+        n = self.start[w + 1] - self.start[w]
+        post = np.repeat(self.start[w] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+        cell, inv = np.unique(np.repeat(s, n) * self.blocks + self.block_of[post], return_inverse=True)
+        bound = np.bincount(inv, weights=self.bound[post], minlength=len(cell))
+        keep = bound + rest[cell // self.blocks] >= SCORE - 1e-5
+        cell, bound = cell[keep], bound[keep]
+        own = cell // self.blocks
+        n = n_before[own]
+        which = np.repeat(np.arange(len(cell)), n)
+        low = t[np.repeat(start[own] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
+        want = low * self.blocks + (cell % self.blocks)[which]
+        at = np.minimum(np.searchsorted(self.cells, want), len(self.cells) - 1)
+        bound = bound + np.bincount(which, weights=np.where(self.cells[at] == want, self.bound[at], 0.0), minlength=len(cell))
+        return cell[bound >= SCORE - 1e-5]
+
     def term_of(self, w: np.ndarray) -> np.ndarray:
         """Number of each word, -1 where no item has it."""
         out = np.full(len(w), -1, np.int64)
@@ -147,17 +188,8 @@ class Index:
             before = within[span] > 0
             pair = np.unique(np.concatenate([pair, (span[before] - 1) * len(self.terms) + t[before]]))
             span, t = np.divmod(pair, max(1, len(self.terms)))
-            line = self.row_of[t]
-            has = np.zeros((len(row), len(self.matrix)), np.float32)
-            has[span[line >= 0], line[line >= 0]] = 1
-            s, t = span[line < 0], t[line < 0]
-            n = self.start[t + 1] - self.start[t]
-            post = np.repeat(self.start[t] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-            cell = np.repeat(s, n) * self.blocks + self.block_of[post]
-            bound = np.bincount(cell, weights=self.bound[post], minlength=len(row) * self.blocks).reshape(len(row), self.blocks)
-            bound = bound + has @ self.matrix
             have, last = np.zeros(len(self.terms), bool), -1
-            for k, b in zip(*np.nonzero(bound >= SCORE - 1e-5), strict=True):
+            for k, b in zip(*np.divmod(self.candidates(span, t, len(row)), self.blocks), strict=True):
                 lo = begin[k]
                 hi = min(lo + 2 * self.stride, at[row[k] + 1])
                 if k != last:
@@ -175,14 +207,38 @@ class Index:
                         yield i + int(row[k]), self.items[item], float(score * whole), q, a
 
 
+def _terms(items: DataFrame) -> DataFrame:
+    """(n_words, word) of the distinct words of each item that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                w = _hashes(text.as_py())
+                if len(w):
+                    terms = np.unique(w).view(np.int64)
+                    yield pa.record_batch([pa.array(np.full(len(terms), len(w))), pa.array(terms), pa.array(np.arange(len(terms)) == 0)], names=["n_words", "word", "first"])
+
+    return items.select("text").mapInArrow(run, "n_words long, word long, first boolean")
+
+
 def _indexes(benchmark: DataFrame):
-    """The index of each part of the items, to be broadcast; a part's bytes are bounded."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    """The index of each part of the items, to be broadcast; a part's bytes are bounded, and weights follow all items."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").dropDuplicates()
+    spark = items.sparkSession
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= PART_BYTES:
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
+        return
     n = int(size // PART_BYTES * 2 + 1)
+    items = written(items.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n))), "benchmark-items")
+    terms = written(_terms(items), "benchmark-terms")
+    df = written(terms.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "benchmark-words")
+    count, mean, longest = terms.where("first").agg(F.count(F.lit(1)), F.avg("n_words"), F.max("n_words")).first()
     for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
-        yield items.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in own.dropDuplicates().collect()]))
+        own = items.where(F.col("part") == k)
+        words = sorted((r.word & (1 << 64) - 1, r.df) for r in df.join(_terms(own).select("word").distinct(), "word").collect())  # of a part
+        whole = Statistics(count, mean or 1.0, longest or 0, np.array([w for w, _ in words], np.uint64), np.array([c for _, c in words], np.int64))
+        yield spark.sparkContext.broadcast(Index([tuple(r) for r in own.select("item_id", "text").collect()], whole))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,16 +258,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, "doc_id long, item_id long, bm25 double, question_overlap double, answer_overlap double")
 
-    found = [finder(x) for x in _indexes(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+    out = _by_part(benchmark, lambda index, found: finder(index) if found is None else found.union(finder(index)))
     best = F.max(F.struct("question_overlap", "answer_overlap", "bm25")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.bm25", "best.question_overlap", "best.answer_overlap")
 
 
+def _by_part(benchmark: DataFrame, step) -> DataFrame:
+    """``step`` from part to part. What it makes of a part is written before the next one's index is broadcast; the last one's stays."""
+    out = held = None
+    for index in _indexes(benchmark):
+        if held is not None:
+            out = written(out, "benchmark-part")
+            held.unpersist()
+        out, held = step(index, out), index
+    return out
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item, in one pass and without a shuffle."""
+    """``docs`` without the documents that hold an item, in one pass for each part of the items, without a shuffle."""
     at = docs.columns.index("text")
 
     def keeper(index):
@@ -224,10 +288,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    out = docs
-    for index in _indexes(benchmark):
-        out = out.mapInArrow(keeper(index), docs.schema)
-    return out
+    return _by_part(benchmark, lambda index, left: (docs if left is None else left).mapInArrow(keeper(index), docs.schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
