@@ -3,12 +3,13 @@
 The words of each source, its documents in id order within hash buckets, are packed into blocks
 of a fixed number of words. A source's target is turned into slots: whole passes over its blocks
 and a part of one more pass. Slot ``k`` of a source goes through the source's pseudorandom
-permutation to a block index, and through a hash to one of the output shards; so the counts of a
+permutation, a Feistel network that is walked until it ends at a block, to a block index, and through a hash to one of the output shards; so the counts of a
 source over the shards are a multinomial draw, while each source's sum stays at its target. Slots
 and blocks are joined by block index.
 
 Word offsets come from a two-level prefix sum (hash buckets of a source, then documents of a
-bucket), so that a source with a third of all rows is spread over many tasks.
+bucket), so that a source with a third of all rows is spread over many tasks. Sources are numbered in
+ranges and their level is found by sums over all of them, so there may be a source for every host.
 
 Defined results
 ---------------
@@ -16,6 +17,8 @@ Defined results
 * a null source is a source of its own, last in the order of sources.
 * repeated rows count once each in the sizes; rows that are equal in id and text are each given an
   even part of what their words are taken. In ``mixed_documents`` such rows are one document.
+* texts may be of any length: only their numbers of words are moved. Ties: the permutation is one to one,
+  and of a block that documents share, each gives the words that it has in it.
 * no block is taken more than ``CAP`` times, so no document exceeds ``CAP`` times its size.
 * an empty table gives an empty table; other columns are left alone.
 """
@@ -33,8 +36,8 @@ BLOCK, SHARD_WORDS, CAP, SEED = 64, 1 << 20, 3, 17
 #: Documents of a source that one offset bucket holds, about.
 PER_BUCKET = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Primes just below 2**31, multipliers of the permutations.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
+#: Rounds of a Feistel network, and the most walks through it: all but one in 2**WALKS numbers end sooner.
+ROUNDS, WALKS = 4, 64
 
 
 def n_words(text: Column) -> Column:
@@ -47,32 +50,50 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int =
 
     Sources in code point order, null last, take ``weights`` in turn and share the sum of all
     sizes. What goes over ``cap`` times a source's size is shared among the others by weight
-    until none is above: with sources in order of cap for each unit of weight, those capped
-    come first, and the level of the others follows from the sums before them.
+    until none is above: each round caps the sources that are above the level of the last one.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
+    keys = [F.col("source").isNull().alias("last"), F.encode("source", "UTF-8").alias("code")]
+    dealt = sizes.select("*", *keys).repartitionByRange(*[F.col(c) for c in ("last", "code")]).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "mixing-sources")  # which fixes the parts
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("last", "code")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
-    by_cap = Window.orderBy("ratio", "i")
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    return (
-        sizes.withColumn("i", F.row_number().over(order) - 1)
-        .withColumn("w", weight)
-        .withColumn("most", (cap * F.col("source_size")).cast("double"))
-        .withColumn("ratio", F.col("most") / F.col("w"))
-        .withColumn("left_words", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-        .withColumn("own_level", F.col("left_words") / F.col("left_weight"))
-        # The level holds from the first source on that does not reach its cap.
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("own_level"), F.struct("ratio", "i", "own_level"))).over(every)["own_level"])
-        .withColumn("target", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("w") * F.col("level"))))
-        .select("source", "i", "source_size", "n_docs", "target")
-    )
+    plan = dealt.withColumn("inside", inside).join(before, "part").withColumn("i", (F.col("base") + F.col("inside")).cast("int")).withColumn("w", weight)
+    plan = written(plan.withColumn("most", (cap * F.col("source_size")).cast("double")).select("source", "i", "source_size", "n_docs", "w", "most"), "mixing-weights")
+    level, capped, total = -1.0, -1, plan.agg(F.sum("source_size")).first()[0] or 0
+    while True:
+        over = F.col("most") < F.lit(level) * F.col("w")
+        now, words, left = plan.agg(F.sum(over.cast("long")), F.sum(F.when(over, F.col("most")).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("w")))).first()
+        if not left or now == capped:  # none is left below its cap, or none is newly above it
+            break
+        level, capped = (total - words) / left, now
+    target = F.col("most") if not left else F.least("most", F.col("w") * F.lit(level))
+    return plan.select("source", "i", "source_size", "n_docs", target.alias("target"))
+
+
+def permuted(x: Column, n: Column, half: Column, key: Column) -> Column:
+    """Place of ``x`` in a pseudorandom permutation of the numbers below ``n``; ``half`` is half the bits that n takes.
+
+    A Feistel network permutes all numbers of twice ``half`` bits. Where it ends above n, it is
+    walked again from there, so numbers below n are permuted among themselves.
+    """
+    mask = F.pow(F.lit(2.0), half).cast("long") - 1
+
+    def network(v: Column) -> Column:
+        left, right = F.floor(v / (mask + 1)).cast("long"), v.bitwiseAND(mask)
+        for r in range(ROUNDS):
+            left, right = right, left.bitwiseXOR(F.xxhash64(key, right, F.lit(r)).bitwiseAND(mask))
+        return left * (mask + 1) + right
+
+    once = network(x)
+    steps = F.array(*[F.lit(k) for k in range(WALKS)])
+    return F.when(once < n, once).otherwise(F.aggregate(steps, once, lambda v, _: F.when(v < n, v).otherwise(network(v))))
 
 
 def _offsets(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """Documents (key, source index i, size) with the word offset ``start`` in their source."""
-    docs = docs.join(F.broadcast(plan.select("i", "n_docs", F.col("source").alias("s"))), F.col("source").eqNullSafe(F.col("s")))
+    docs = docs.join(plan.select("i", "n_docs", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
     bucket = F.pmod(F.xxhash64("key", F.lit(SEED)), F.floor(F.col("n_docs") / PER_BUCKET) + 1)
     docs = docs.withColumn("bucket", bucket).select("doc_id", "key", "i", "bucket", "size")
     sums = docs.groupBy("i", "bucket").agg(F.sum("size").alias("words"))
@@ -113,28 +134,27 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
     n_blocks = F.ceil(F.col("source_size") / block)
     passes = F.floor(F.col("target") / F.col("source_size"))
     part = F.round((F.col("target") - passes * F.col("source_size")) / block)
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy(F.lit(0))) / shard_words))
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in PRIMES]), (F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
+    shards = F.lit(max(1, -(-int(plan.agg(F.sum("target")).first()[0] or 0) // shard_words)))
     wide = 1 << 16  # slots come in runs, so that one source's are made by many tasks
     slots = (
         plan.where("source_size > 0")
         .withColumn("shards", shards)
         .withColumn("n_blocks", n_blocks)
         .withColumn("n_slots", (passes * n_blocks + F.least(part, n_blocks)).cast("long"))
-        .withColumn("prime", prime)
-        .withColumn("shift", F.pmod(F.xxhash64("source", F.lit(seed + 1)), n_blocks))
+        .withColumn("half", F.ceil(F.greatest(F.lit(1), F.length(F.bin(F.col("n_blocks") - 1))) / 2).cast("int"))
+        .withColumn("key", F.xxhash64("source", F.lit(seed + 1)))
         .where("n_slots > 0")
         .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / wide))))
         .repartition("i", "run")
         .withColumn("slot", F.explode(F.sequence(F.col("run") * wide, F.least((F.col("run") + 1) * wide, F.col("n_slots")) - 1)))
         .select(
             F.col("i").alias("source_no"), "slot",
-            F.pmod(F.pmod(F.col("slot"), F.col("n_blocks")) * F.col("prime") + F.col("shift"), F.col("n_blocks")).alias("block"),
+            permuted(F.pmod(F.col("slot"), F.col("n_blocks")), F.col("n_blocks"), F.col("half"), F.col("key")).alias("block"),
             F.pmod(F.xxhash64("i", "slot", F.lit(seed + 2)), F.col("shards")).alias("shard"),
         )
     )
     sized = sized.join(
-        F.broadcast(plan.select(F.col("source").alias("s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s"))
+        plan.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
     return slots, pieces, sized
 
