@@ -11,7 +11,9 @@ Defined results
 * one row larger than the limit gets a bucket of its own and goes over the limit.
 * rows that are equal in id and text share all 60 bits, so no bit can part them. Where they
   exceed the limit together, they go into an overflow chain: ``shard_id`` then ends in
-  ``+partition.number``, with as many rows a link as fit.
+  ``+number``, with as many rows a link as fit. Ties between them are broken by a hash of all columns,
+  so another partitioning gives the same links; columns of a table with such rows must be comparable.
+* texts may be of any length: only their bytes are counted.
 * existing columns called like the results are replaced; an empty table gives an empty table.
 """
 
@@ -28,6 +30,8 @@ from tidewright.sources.tables import table
 BITS = 60
 #: Bytes of text a shard may hold.
 LIMIT = 1 << 20
+#: Rows of a chain that one task makes.
+RUN = 1 << 16
 
 
 def hash60(*parts: Column) -> Column:
@@ -117,17 +121,19 @@ def shard(docs: DataFrame, limit: int = LIMIT, keys: tuple[str, ...] = ("doc_id"
     over = (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
     if cells.where((F.col("bytes") > limit) & (F.col("rows") > 1)).isEmpty() or out.where(over).limit(1).isEmpty():
         return out.drop("_h")
-    # Overflow chains; numbering within a partition keeps a hot row out of any one task.
-    per_link = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes")))
-    chained = out.where(over).withColumn("_p", F.spark_partition_id())
-    number = F.row_number().over(Window.partitionBy("_h", "_p").orderBy("_h")) - 1
-    chained = (
-        chained.withColumn("_link", F.floor(number / per_link))
-        .withColumn("shard_id", F.concat("shard_id", F.lit("+"), "_p", F.lit("."), "_link"))
-        .withColumn("shard_docs", F.count(F.lit(1)).over(Window.partitionBy("_h", "_p", "_link")))
-        .withColumn("shard_bytes", F.col("shard_docs") * F.col("n_bytes"))
-    )
-    return out.where(~over).unionByName(chained.select(*out.columns)).drop("_h")
+    # Overflow chains: equal rows are counted, and numbers are dealt to the counts, so that no row has to be
+    # told from its copies, the links do not depend on partitions, and a hot row is counted in parts.
+    cols = out.columns
+    per_link = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("n_bytes"))).cast("long")
+    chained = out.where(over).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_h").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in cols])).rowsBetween(Window.unboundedPreceding, -1)
+    chained = chained.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    chained = chained.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN)))).repartition("_h", "_run")
+    chained = chained.withColumn("_at", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col("_n")) - 1)))
+    link = F.floor((F.col("_base") + F.col("_at")) / per_link)
+    rows = F.least(per_link, F.col("shard_docs") - link * per_link)
+    chained = chained.select(*[F.col(f"`{c}`") for c in cols if c not in ("shard_id", "shard_docs", "shard_bytes")], F.concat("shard_id", F.lit("+"), link).alias("shard_id"), rows.alias("shard_docs"), (rows * F.col("n_bytes")).alias("shard_bytes"))
+    return out.where(~over).unionByName(chained.select(*[F.col(f"`{c}`") for c in cols])).drop("_h")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
