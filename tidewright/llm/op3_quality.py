@@ -29,7 +29,10 @@ Defined results
 * null or empty text has no perplexity and is kept. A null language is a language of its own;
   a language without trusted documents takes the quantile over all languages. Without any
   trusted document nothing is rejected.
-* repeated rows get the same score each; a document with several labels has quality 1 if one has.
+* equal texts get the same score; those of a batch are counted once, and a key's sums are means over its copies, so
+  a text that a third of all rows have is summed in parts; a document with several labels has quality 1 if one has. A tie with a threshold is kept.
+* texts may be of any length; they are counted whole, in pieces. An empty table gives an empty table. Other
+  columns are not read, or kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,10 +51,12 @@ from tidewright.sources.tables import table
 #: Order of the model, bound of the training sample, and what is rejected.
 ORDER, TRAIN_DOCS, QUANTILE, SLACK = 3, 20_000, 0.99, 1.15
 SEED = 29
+#: Bytes of a text that are counted at once.
+PIECE = 1 << 20
 
 
 def grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, gram, n): how often each n-gram is in a text of ``texts`` (key, text).
+    """(key, gram, n): how often each n-gram is in a piece of a text of ``texts`` (key, text); sum over the pieces of a key.
 
     The first bytes are counted after a context filled up with byte 0, the end is a byte 0 more;
     so a text has one n-gram for each byte and one for its end, each as a number of 8 bits a byte.
@@ -59,21 +64,26 @@ def grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).cast(pa.int64())
+            key = batch.column(0).cast(pa.int64()).to_numpy()
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True  # copies in a batch have the same n-grams
             data, offs = bytes_of(batch.column(1))
             for i, j in runs(offs):
                 keys, found, counts = [], [], []
-                for r in range(i, j):
-                    text = data[offs[r] : offs[r + 1]]
-                    if not len(text):
-                        continue
-                    padded = np.zeros(len(text) + order, np.int64)
-                    padded[order - 1 : -1] = text
-                    code = padded[: len(text) + 1].copy()
+                for r, at in ((r, at) for r in range(i, j) if once[r] for at in range(int(offs[r]), int(offs[r + 1]), PIECE)):
+                    # A piece of a text with the bytes before it; the last one also has the end.
+                    text = data[at : min(at + PIECE, offs[r + 1])]
+                    last = at + PIECE >= offs[r + 1]
+                    head = data[max(offs[r], at - order + 1) : at]
+                    padded = np.zeros(len(text) + order - 1 + last, np.int64)
+                    padded[order - 1 - len(head) : order - 1] = head
+                    padded[order - 1 : order - 1 + len(text)] = text
+                    size = len(text) + last
+                    code = padded[:size].copy()
                     for k in range(1, order):
-                        code = (code << 8) | padded[k : k + len(text) + 1]
+                        code = (code << 8) | padded[k : k + size]
                     g, n = np.unique(code, return_counts=True)
-                    keys.append(np.full(len(g), key[r].as_py()))
+                    keys.append(np.full(len(g), key[r]))
                     found.append(g)
                     counts.append(n)
                 if keys:
@@ -192,7 +202,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
     """Per row of ``docs`` (doc_id, text, lang): doc_id, lang, key, perplexity, threshold, keep.
 
     ``labels`` has doc_id, quality (1 for good) and toxic (1 for toxic; may be absent). ``key`` is a
-    hash of the text; equal texts are scored once.
+    hash of the text.
     """
     ids = written(docs.select("doc_id", "lang", F.when(F.octet_length("text") > 0, _key()).alias("key")), "quality-ids")
     toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(0)
