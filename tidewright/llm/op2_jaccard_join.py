@@ -271,6 +271,13 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()).combine_chunks()
 
 
+def _folded(column: pa.ChunkedArray) -> np.ndarray:
+    """Sketches of several widths as rows of the smallest."""
+    sk = [np.frombuffer(v.as_buffer(), np.uint64) for v in _one(column)]
+    width = min(map(len, sk))
+    return np.stack([np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in sk])
+
+
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(node, text) of each node of ``wanted`` (node)."""
     wanted = written(nodes.join(wanted, "node").select(F.col("rep").alias("id"), "node"), "jaccard-wanted")
@@ -316,8 +323,9 @@ def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFra
     Lists of one first member are taken together, so that sets that are in many of them, as near
     copies are, meet once. Most members of a list are in its main group by now; each of the others is
     compared with all members. For this the list is cut into parts of bounded bytes, and a cell
-    holds the sets of two parts. It returns no more links than it has groups, as two groups are
-    not compared any further once a link between them is found.
+    holds two parts: first their sketches, which leave those sets that may have a link at all, and
+    then these sets. It returns no more links than it has groups, as two groups are not compared any
+    further once a link between them is found.
     """
     rows = lists.withColumnRenamed("head", "key").join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     rows = written(rows.join(nodes.select("node", "n_shingles"), "node"), "jaccard-listed")
@@ -340,25 +348,39 @@ def _across(lists: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFra
             sets = [blob(s) for _, s in shingle_sets(batch.column(1), k)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    texts = _texts(rows.select("node").distinct(), nodes, docs, k)
-    sets = written(texts.mapInArrow(packed_sets, "node long, shingles binary").join(nodes.select("node", "sketch"), "node"), "jaccard-sets")
     num, den, ratio = t.numerator, t.denominator, (1 - t) / (1 + t)
 
+    def near(i: int, size: np.ndarray, sk: np.ndarray) -> np.ndarray:
+        """Whether the sketches allow for a link with set i."""
+        return np.bitwise_count(sk[i] ^ sk).sum(axis=1) <= ((size[i] + size) * ratio.numerator) // ratio.denominator
+
+    def wanted(rows: pa.Table) -> pa.Table:
+        other, of, size = rows.column("other").to_numpy(zero_copy_only=False), rows.column("group").to_numpy(), rows.column("n_shingles").to_numpy()
+        sk, keep = _folded(rows.column("sketch")), np.zeros(len(rows), bool)
+        for i in np.flatnonzero(other):
+            hit = ~other & (of != of[i]) & near(i, size, sk)
+            keep |= hit
+            keep[i] = hit.any()
+        return rows.filter(pa.array(keep)).drop_columns(["sketch", "n_shingles"])
+
+    shape = "key long, x long, y long, node long, group long, main long, other boolean"
+    told = placed.join(nodes.select("node", "n_shingles", "sketch"), "node").select("key", "x", "y", "node", "group", "main", "other", "n_shingles", "sketch")
+    placed = written(told.groupBy("key", "x", "y").applyInArrow(wanted, shape), "jaccard-near")
+    texts = _texts(placed.select("node").distinct(), nodes, docs, k)
+    sets = written(texts.mapInArrow(packed_sets, "node long, shingles binary").join(nodes.select("node", "sketch"), "node"), "jaccard-sets")
+
     def cell(rows: pa.Table) -> pa.Table:
         node, other = rows.column("node").to_numpy(), rows.column("other").to_numpy(zero_copy_only=False)
         ids, of = np.unique(rows.column("group").to_numpy(), return_inverse=True)
         label, main = np.arange(len(ids)), np.flatnonzero(ids == rows.column("main")[0].as_py())
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in _one(rows.column("shingles"))]
         size = np.array([len(v) for v in sets])
-        sk = [np.frombuffer(v.as_buffer(), np.uint64) for v in _one(rows.column("sketch"))]
-        width = min(map(len, sk))
-        sk = np.stack([np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in sk])
+        sk = _folded(rows.column("sketch"))
         twice = other | ~np.isin(of, main)  # pairs of these come from both of their ends
         links = []
         for i in np.flatnonzero(other):
-            limit = ((size[i] + size) * ratio.numerator) // ratio.denominator
-            near = np.flatnonzero(~other & (label[of] != label[of[i]]) & (np.bitwise_count(sk[i] ^ sk).sum(axis=1) <= limit) & (~twice | (node > node[i])))
-            for j in np.split(near, np.flatnonzero(np.diff(np.cumsum(size[near]) >> 18)) + 1):
+            some = np.flatnonzero(~other & (label[of] != label[of[i]]) & near(i, size, sk) & (~twice | (node > node[i])))
+            for j in np.split(some, np.flatnonzero(np.diff(np.cumsum(size[some]) >> 18)) + 1):
                 j = j[label[of[j]] != label[of[i]]]
                 if not len(j):
                     continue
