@@ -193,9 +193,10 @@ def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFram
         return None
     texts = lambda keys: written(keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]), "quality-labelled")
     telling = telling_words(texts(some), texts(first))
-    scored = written(toxicities(keyed, telling), "quality-toxicities")
-    most = trusted.join(scored, "key", "left").agg(F.percentile_approx(F.coalesce("toxicity", F.lit(0.0)), quantile, 10_000)).first()[0]
-    return scored.where(F.col("toxicity") > most).select("key")
+    # The threshold needs all words of trusted texts; all others only the few words that tell more than it.
+    known = toxicities(keyed.join(trusted.select("key").distinct(), "key", "left_semi"), telling)
+    most = trusted.join(known, "key", "left").agg(F.percentile_approx(F.coalesce("toxicity", F.lit(0.0)), quantile, 10_000)).first()[0]
+    return written(toxicities(keyed, written(telling.where(F.col("tells") > most), "quality-telling")).select("key"), "quality-toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
