@@ -74,3 +74,8 @@ def with_day(date: Column, day: Column, current_month: int) -> Column:
     """``d/M`` with another day; no month gives the current one."""
     month = F.coalesce(F.nullif(F.get(F.split(date, "/"), F.lit(1)), F.lit("")), F.lit(str(current_month)))
     return F.concat(day.cast("string"), F.lit("/"), month)
+
+
+def published_meta(iso: Column, now_ms: int, zone: str = "UTC") -> Column:
+    """Date and how long ago, of an ISO text."""
+    return F.concat(published_date(iso, zone), F.lit(" • "), relative_days(F.unix_millis(F.try_to_timestamp(iso)), now_ms))

@@ -149,3 +149,27 @@ def target(route: Column, url: Column) -> Column:
     """Where an entry leads: its route before its url, with the kind of either."""
     kind = F.when(route.isNotNull(), "route").when(url.isNotNull(), "url")
     return F.struct(kind.alias("kind"), F.coalesce(route, url).alias("to"))
+
+
+def pray_label(prayed: Column) -> Column:
+    """Label of the toggle by whether it is on."""
+    return F.when(prayed, "Orando").otherwise("Orar")
+
+
+def role_badge(admin: Column) -> Column:
+    return F.when(admin, "Admin").otherwise("Membro")
+
+
+def row_key(*parts: Column) -> Column:
+    """Composite key of a row, such as book-chapter-verse-place."""
+    return F.concat_ws("-", *[p.cast("string") for p in parts])
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two fields agree; two nulls do."""
+    return a.eqNullSafe(b)
+
+
+def at_least(c: Column, n: int) -> Column:
+    """Whether a text has ``n`` characters or more; null has none."""
+    return F.coalesce(F.length(c), F.lit(0)) >= n

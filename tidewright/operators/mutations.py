@@ -16,14 +16,22 @@ def inserted(df: DataFrame, rows: DataFrame) -> DataFrame:
 def patched(df: DataFrame, patch: DataFrame, key: str = "id", allowed: list[str] | None = None) -> DataFrame:
     """Rows of ``df`` with the fields of ``patch``: a column that patch lacks is absent and stays, a null in it is set.
 
-    ``allowed`` names the columns that may be patched.
+    ``allowed`` names the columns that may be patched. A key may occur once in ``patch``: of two rows it would make two.
     """
     fields = [c for c in patch.columns if c != key and (allowed is None or c in allowed)]
-    p = patch.select(F.col(key).alias("_key"), F.struct(*fields).alias("_new")) if fields else None
-    if p is None:
+    if not fields:
         return df
-    out = df.join(p, df[key] == F.col("_key"), "left")
-    return out.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
+    known, new = (_free(x, df.columns) for x in ("_key", "_new"))
+    p = patch.select(F.col(f"`{key}`").alias(known), F.struct(*[F.col(f"`{c}`") for c in fields]).alias(new))
+    out = df.join(p, F.col(f"`{key}`") == F.col(known), "left")
+    return out.select(*[F.when(F.col(known).isNotNull(), F.col(new)[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in fields else F.col(f"`{c}`") for c in df.columns])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer by underscores while a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def merged(df: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

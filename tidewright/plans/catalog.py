@@ -349,3 +349,137 @@ def live_snapshot(spark, d):
     e = table(spark, d, "events")
     changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "user_id", "event_type", "event_id")
     return live.latest(changes, "user_id")
+
+
+@query("""select user_id, event_type, event_id, row_number() over (order by event_id desc) as pos from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1 and event_type <> 'error'""")
+def live_stream(spark, d):
+    """The live view of a stream of changes, read to its end: what the last delivery of the subscription shows."""
+    source = table(spark, d, "events")
+    e = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")  # a pattern: the table may be one file
+    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "user_id", "event_type", "event_id")
+    return live.read_to_end(changes, lambda rows: C.positions(rows, F.desc("event_id")), "user_id")
+
+
+@query("""select user_id, event_id, event_type, row_number() over (order by ts desc, event_id desc) as pos from events where event_type = 'click'""")
+def events_view(spark, d):
+    """A filtered and ordered view of a collection."""
+    e = table(spark, d, "events").where(F.col("event_type") == "click")
+    return C.positions(e.select("user_id", "event_id", "event_type", "ts"), F.desc("ts"), F.desc("event_id")).drop("ts")
+
+
+@query("""select c_custkey, c_mktsegment as collection, a as action,
+  case c_mktsegment when 'AUTOMOBILE' then c_custkey % 5 = 3 when 'BUILDING' then c_custkey % 7 = 3
+    when 'MACHINERY' then a in ('read', 'update') or c_custkey % 7 = 3 else a = 'read' end as user_may,
+  case c_mktsegment when 'AUTOMOBILE' then c_custkey % 5 = 3 when 'BUILDING' then c_custkey % 7 = 3
+    when 'MACHINERY' then a in ('read', 'update') or c_custkey % 7 = 3 else true end as admin_may, false as nobody_may
+from customer, (select unnest(['read', 'create', 'update', 'delete']) as a)""")
+def access_rules(spark, d):
+    """Which rows of each collection a user, an administrator and nobody may read, create, update and delete."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 5).cast("string").alias("id"), (F.col("c_custkey") % 7).cast("string").alias("authorId"))
+    kinds = {"AUTOMOBILE": "usuarios", "BUILDING": "anotacoes", "MACHINERY": "oracoes"}
+
+    def rule(action: str, uid: str | None, admin: bool):
+        out = C.may("noticias", action, uid, admin)
+        for segment, kind in kinds.items():
+            out = F.when(F.col("c_mktsegment") == segment, C.may(kind, action, uid, admin)).otherwise(out)
+        return out
+
+    each = [F.struct(F.lit(a).alias("action"), rule(a, "3", False).alias("user_may"), rule(a, "3", True).alias("admin_may"), rule(a, None, False).alias("nobody_may")) for a in ("read", "create", "update", "delete")]
+    return rows.select("c_custkey", F.col("c_mktsegment").alias("collection"), F.explode(F.array(*each)).alias("r")).select("c_custkey", "collection", "r.*")
+
+
+@query("""select page_id, 0::bigint as pos, 'v' || page_id as id, url || ' & "x"' as title, '2024-01-05T10:00:00Z' as published,
+  'https://i.ytimg.com/vi/v' || page_id || '/hqdefault.jpg' as thumbnail, 'https://www.youtube.com/watch?v=v' || page_id as url from pages""")
+def feed_videos(spark, d):
+    """Entries of video feeds; an entry without an id is none."""
+    xml = F.concat(
+        F.lit("<feed><entry>\n<yt:videoId>v"), F.col("page_id").cast("string"), F.lit("</yt:videoId>\n<title>"), F.col("url"),
+        F.lit(" &amp; &quot;x&quot;</title><published>2024-01-05T10:00:00Z</published></entry><entry><title>none</title></entry></feed>"),
+    )
+    videos = feed.videos(table(spark, d, "pages").select(xml.alias("xml")))
+    return longs(videos.select(F.regexp_extract("id", "v(.*)", 1).cast("long").alias("page_id"), "*"), "pos")
+
+
+@query("""select s_suppkey, s_name, 0::bigint as prayed from supplier where s_suppkey % 2 = 0 union all select s_suppkey, s_name, 1 from supplier where s_suppkey % 2 = 1""")
+def list_default(spark, d):
+    """Rows inserted without their list get an empty one."""
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", F.array(F.col("s_name")).alias("prayedBy"))
+    rows = mutations.inserted(base.where("s_suppkey % 2 = 1"), base.where("s_suppkey % 2 = 0").drop("prayedBy"))
+    return longs(C.with_defaults(rows, prayedBy=[]).select("s_suppkey", "s_name", F.size("prayedBy").alias("prayed")), "prayed")
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'patched' else s_name end as s_name, s_acctbal from supplier")
+def patch_allowed(spark, d):
+    """A patch of fields of which only some may be set."""
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    patch = base.where("s_suppkey % 3 = 0").select("s_suppkey", F.lit("patched").alias("s_name"), F.lit(0.0).alias("s_acctbal"))
+    return mutations.patched(base, patch, "s_suppkey", allowed=["s_name"])
+
+
+@query("select s_suppkey, case when s_suppkey % 3 <> 0 then s_name end as s_name, s_acctbal from supplier")
+def replace_rows(spark, d):
+    """Whole rows set: fields that the new rows lack are gone."""
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return mutations.replaced(base, base.where("s_suppkey % 3 = 0").drop("s_name"), "s_suppkey")
+
+
+@query("""select s_suppkey, case when s_suppkey = 3 then 'edited' else s_name end as s_name, 'update' as kind from supplier
+  union all (select s_suppkey, s_name, 'insert' from supplier union all select 1000003, 'edited', 'insert')""")
+def save_edit(spark, d):
+    """A form that is saved: over the row being edited, or as a new one."""
+    base = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    row = spark.sql("select 1000003L as s_suppkey, 'edited' as s_name")
+    done = mutations.saved(base, row, 3, "s_suppkey"), mutations.saved(base, row, None, "s_suppkey")
+    return done[0].withColumn("kind", F.lit("update")).unionByName(done[1].withColumn("kind", F.lit("insert")))
+
+
+@query("select s_suppkey, case when s_suppkey = 4 then 'u1' when s_suppkey % 2 = 0 then 'u1,u2' else 'u2' end as prayed from supplier")
+def toggle_row(spark, d):
+    """Membership turned over in one row of a collection."""
+    lists = F.when(F.col("s_suppkey") == 4, F.array(F.lit("u1"), F.lit("u2"))).when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("u1"), F.lit("u2"))).otherwise(F.array(F.lit("u2")))
+    rows = mutations.toggle_prayed(table(spark, d, "supplier").select("s_suppkey", lists.alias("prayedBy")), 4, "u2", "s_suppkey")
+    return rows.select("s_suppkey", F.array_join("prayedBy", ",").alias("prayed"))
+
+
+@query(f"""with e as (select event_id, epoch_ms(ts) as ms, strftime(ts, '%d/%m/%Y') as date from events),
+n as (select *, floor(({NOW_MS} - ms) / 86400000.0)::bigint as days, floor(({NOW_MS} - ms) / 86400000.0 / 30)::bigint as months from e)
+select event_id, date || ' • ' || case when days = 0 then 'Hoje' when days = 1 then 'Há 1 dia' when days between 2 and 6 then 'Há ' || days || ' dias' when days < 7 then 'Há ' || days || ' dias'
+  when days < 14 then 'Há 1 semana' when days < 30 then 'Há ' || (days // 7) || ' semanas' when months = 1 then 'Há 1 mês' when months < 12 then 'Há ' || months || ' meses'
+  when months // 12 = 1 then 'Há 1 ano' else 'Há ' || (months // 12) || ' anos' end as meta from n""")
+def video_meta(spark, d):
+    """Date and relative time in one line."""
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", D.published_meta(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), NOW_MS).alias("meta"))
+
+
+@query("""select c_custkey, case when c_custkey % 2 = 0 then 'Orando' else 'Orar' end as pray, case when c_custkey % 3 = 0 then 'Admin' else 'Membro' end as badge,
+  c_nationkey || '-' || c_custkey || '-' || (c_custkey % 4) || '-0' as key from customer""")
+def row_labels(spark, d):
+    """Labels by a flag, and composite keys of rows."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", T.pray_label(k % 2 == 0).alias("pray"), T.role_badge(k % 3 == 0).alias("badge"), T.row_key(F.col("c_nationkey"), k, k % 4, F.lit(0)).alias("key"))
+
+
+@query("""select p_partkey, p_size % 2 = 0 as equal, length(p_brand) >= 6 as long_enough,
+  case when p_size % 2 <> 0 then 'mismatch' when length(p_brand) < 6 then 'short' else 'ok' end as verdict from part""")
+def password_check(spark, d):
+    """Two fields that must agree, and the least length of one."""
+    word, again = F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lit("other"))
+    equal, enough = T.same(word, again), T.at_least(word, 6)
+    return table(spark, d, "part").select("p_partkey", equal.alias("equal"), enough.alias("long_enough"), F.when(~equal, "mismatch").when(~enough, "short").otherwise("ok").alias("verdict"))
+
+
+@query("""select p_partkey, replace(replace(replace(replace(p_name || ' a+b/ç!', '/', '%2F'), '+', '%2B'), ' ', '%20'), 'ç', '%C3%A7') as encoded,
+  case p_size % 3 when 0 then 'https://a' when 1 then 'https://i' else 'https://s' end as store,
+  case when p_size % 2 = 0 then 'route' else 'url' end as kind, case when p_size % 2 = 0 then '/r' || p_partkey else 'u' || p_partkey end as goes_to,
+  case when p_size % 5 = 0 then 'own' when p_size % 5 = 1 then 'one' when p_size % 5 = 2 then 'two' else 'none' end as by_key from part""")
+def link_targets(spark, d):
+    """Encoded texts, the store of a platform, where an entry leads, and lookups with an explicit value and a fallback."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size")
+    platform = F.when(n % 3 == 0, "android").when(n % 3 == 1, "ios").otherwise("web")
+    to = T.target(F.when(n % 2 == 0, F.concat(F.lit("/r"), k)), F.concat(F.lit("u"), k))
+    found = T.by_key({"1": "one", "2": "two", "x": "none"}, (n % 5).cast("string"), "x", F.when(n % 5 == 0, "own"))
+    return table(spark, d, "part").select(
+        "p_partkey", T.uri_component(F.concat("p_name", F.lit(" a+b/ç!"))).alias("encoded"), T.store_url(platform, F.lit("https://a"), F.lit("https://i"), F.lit("https://s")).alias("store"),
+        to["kind"].alias("kind"), to["to"].alias("goes_to"), found.alias("by_key"),
+    )
