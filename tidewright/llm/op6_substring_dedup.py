@@ -15,8 +15,8 @@ these), and goes to the shard of its anchor's hash, with what is around the anch
 3. A shard packs its spans by bucket of rows, so their number of rows does not follow that of the
    documents; a bucket gathers them by row, a hash of id and text, and they are cut out.
 
-Texts of names are sorted by the same induction again, over the digits of the names. Only where these
-would be no shorter than the text that was reduced, ranks of names are doubled.
+Texts of names are sorted by the same induction again, over the digits of the names. Where these would
+be more than half as long as the text that was reduced, ranks of names are doubled instead.
 
 Defined results
 ---------------

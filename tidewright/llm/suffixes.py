@@ -106,7 +106,7 @@ def _digits(names: np.ndarray) -> tuple[np.ndarray, int]:
 def _ranked(names: np.ndarray, most: int) -> np.ndarray:
     """Order of the suffixes of a reduced text by their first ``most`` names, by doubling of ranks.
 
-    This is for the texts of names whose digits are no shorter than what they were reduced from.
+    This is for the texts of names whose digits are more than half as long as what they were reduced from.
     """
     rank, width = names.astype(np.int64), 1
     while True:
@@ -146,7 +146,7 @@ def suffix_array(t: np.ndarray, most: int) -> np.ndarray:
     if len(starts) > 1 and names.max() < len(starts) - 1:
         # Names repeat: the order of the text of names, of which none is shorter than two characters.
         digits, width = _digits(names)
-        if len(digits) < n:  # the same sorting of a shorter text
+        if 2 * len(digits) <= n:  # the same sorting of a text of half the length or less
             order = suffix_array(digits, (most // 2 + 2) * width)
             ordered = starts[order[(order % width == 0) & (order < len(digits) - 1)] // width]
         else:
