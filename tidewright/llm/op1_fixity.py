@@ -37,6 +37,8 @@ from tidewright.sources.tables import table
 PER_ARCHIVE, FANOUT_BITS = 512, 4
 #: Records of one id that one step of a prefix sum takes, about.
 PER_STEP = 1024
+#: Nodes of a level, or ids that differ, in one file.
+PER_FILE = 1 << 16
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -114,9 +116,14 @@ def heights(rows: DataFrame) -> int:
 def tree(rows: DataFrame, height: int) -> list[DataFrame]:
     """The levels of the tree over records ``rows``, leaves first, the root last; each is written and read for the next."""
     levels = [written(leaves(rows), "fixity-leaves")]
-    for _ in range(height):
-        levels.append(written(parents(levels[-1]), "fixity-level"))
-    return [*levels, written(parents(levels[-1], True), "fixity-root")]
+    for k in range(height + 1):  # a level has no more nodes than the one below
+        levels.append(written(parents(levels[-1], k == height).coalesce(_parts(levels[-1])), "fixity-level"))
+    return levels
+
+
+def _parts(*levels: DataFrame) -> int:
+    """Files for as many rows as ``levels`` have together: upper levels are small, and are not written in pieces."""
+    return 1 + sum(x.count() for x in levels) // PER_FILE
 
 
 def damaged_ids(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
@@ -128,7 +135,8 @@ def damaged_ids(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
             keys = [x.alias(c) for x, c in zip(_up(k == len(first) - 2), ("up_kind", "up"), strict=True)]
             a, b = (x.select("*", *keys).join(differ, ["up_kind", "up"], "left_semi").drop("up_kind", "up") for x in (a, b))
         both = a.join(b, ["kind", "node"], "full").where(~F.col("ha").eqNullSafe(F.col("hb")))
-        differ = written(both.select(F.col("kind").alias("up_kind"), F.col("node").alias("up")), "fixity-descent")
+        differ = both.select(F.col("kind").alias("up_kind"), F.col("node").alias("up")).coalesce(_parts(first[k], second[k]))
+        differ = written(differ, "fixity-descent")
         if differ.isEmpty():
             break
     return differ.select(F.col("up_kind").alias("kind"), F.col("up").alias("id"))
