@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewright.sources.shared import new_path
+from tidewright.streaming.parts import ended, in_parts
+
 CHANGES = ("seq", "op")
 
 
@@ -40,27 +40,25 @@ def subscribe(changes: DataFrame, deliver: Callable[[DataFrame], None], view: Ca
     )
 
 
-def read_to_end(changes: DataFrame, view: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+def read_to_end(changes: DataFrame, view: Callable[[DataFrame], DataFrame], key: str = "id", seconds: float = 1800) -> DataFrame:
     """What the last delivery of a subscription to ``changes`` shows, once all that is there has been read.
 
     Deliveries and the stream's checkpoint are in the folder that spark.checkpoint.dir names, which all executors see.
     """
-    spark = changes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp()
-    folder, shown = f"{folder.rstrip('/')}/tidewright/live-{uuid.uuid4().hex}", []
+    folder, shown = new_path(changes.sparkSession, "live"), []
 
     def deliver(rows: DataFrame) -> None:
         path = f"{folder}/delivered-{len(shown)}"
         rows.write.parquet(path)
         shown.append((path, rows.schema))
 
-    query = subscribe(changes, deliver, view, f"{folder}/checkpoint", key)
-    query.awaitTermination()
+    ended(subscribe(changes, deliver, view, f"{folder}/checkpoint", key), seconds)
     if not shown:
-        return view(spark.createDataFrame([], latest(changes, key).schema))
+        return view(changes.sparkSession.createDataFrame([], latest(changes, key).schema))
     path, schema = shown[-1]
-    return spark.read.schema(schema).parquet(path)
+    return changes.sparkSession.read.schema(schema).parquet(path)
+
+
+def deliveries(parts: list[DataFrame], view: Callable[[DataFrame], DataFrame], key: str = "id") -> DataFrame:
+    """Every delivery of a subscription to changes that come in ``parts``: ``view`` of the full result, with ``part``."""
+    return in_parts(parts, lambda changes: latest(changes, key), "complete", view).drop("batch")
