@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import dates as D
 from tidewright.functions import text as T
 from tidewright.operators import collections as C
-from tidewright.operators import corpus, feed, mutations
+from tidewright.operators import corpus, feed, mutations, ordering
 from tidewright.sources.tables import table
 from tidewright.streaming import live
 
@@ -120,7 +120,7 @@ def _around(ends: DataFrame, wide: int = 1024) -> DataFrame:
 
 @query("select event_id, row_number() over (partition by event_type order by ts desc, event_id desc) as pos, event_type from events")
 def feed_desc(spark, d):
-    return C.positions(table(spark, d, "events").select("event_id", "ts", "event_type"), F.desc("ts"), F.desc("event_id"), within=("event_type",)).drop("ts")
+    return ordering.ranked(table(spark, d, "events").select("event_id", "ts", "event_type"), F.desc("ts"), F.desc("event_id"), within=("event_type",)).drop("ts")
 
 
 def _agenda(spark, d) -> DataFrame:
@@ -134,15 +134,15 @@ _AGENDA = "(select event_id, event_type, day(ts) || '/' || month(ts) as date fro
 
 @query(f"select event_id, date, row_number() over (partition by event_type order by date, event_id) as pos, lead(event_id) over (partition by event_type order by date, event_id) is null as is_last from {_AGENDA}")
 def agenda_text_order(spark, d):
-    order = (F.col("date"), F.col("event_id"))
-    rows = C.with_last(C.positions(_agenda(spark, d), *order, within=("event_type",)), *order, within=("event_type",))
-    return rows.select("event_id", "date", "pos", "is_last")
+    rows = ordering.ranked(_agenda(spark, d), F.col("date"), F.col("event_id"), within=("event_type",))
+    ends = rows.groupBy("event_type").agg(F.max("pos").alias("end"))  # a row for each type
+    return rows.join(ends, "event_type").select("event_id", "date", "pos", (F.col("pos") == F.col("end")).alias("is_last"))
 
 
 @query(f"select event_id, date, row_number() over (partition by date order by event_id) as pos from {_AGENDA} where event_type = 'click'")
 def agenda_tab(spark, d):
     rows = C.agenda_tab(_agenda(spark, d).withColumnRenamed("event_type", "type"), "click").select("event_id", "date")
-    return C.positions(rows, F.col("event_id"), within=("date",))
+    return ordering.ranked(rows, F.col("event_id"), within=("date",))
 
 
 _MONTHS = "[" + ", ".join(f"'{m}'" for m in D.MONTHS) + "]"
@@ -302,11 +302,19 @@ def sections_explode(spark, d):
     return rows.select("r_name", F.col("leader.n_name").alias("n_name"), (F.col("i") + 1).cast("long").alias("pos"), (F.col("i") == F.col("n") - 1).alias("is_last"))
 
 
-@query(f"select m.i as month, ({_MONTHS})[m.i] as name, d.i as day, d.i || '/' || m.i as date from range(1, 13) m(i), range(1, 32) d(i)")
+@query(f"""select event_type, m.i as month, ({_MONTHS})[m.i] as name, d.i as day, d.i || '/' || m.i as date from (select event_type, min(month(ts)) as a, max(month(ts)) as b, max(day(ts)) as n from events group by 1) e,
+ lateral (select unnest(range(e.a, e.b + 1)) as i) m, lateral (select unnest(range(1, e.n + 1)) as i) d
+ union all select 'none', m.i, ({_MONTHS})[m.i], d.i, d.i || '/' || m.i from (select count(*) as n from events where event_type = 'none') e, range(1, 13) m(i), lateral (select unnest(range(1, e.n + 1)) as i) d""")
 def day_grid(spark, d):
-    grid = spark.range(1, 13).select(F.col("id").alias("month"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(31).cast("long"))).alias("day"))
+    """Months and days to choose from, up to the latest that the events of a type have; without events there is no day."""
+    e = table(spark, d, "events")
+    bounds = e.groupBy("event_type").agg(F.min(F.month("ts")).alias("a"), F.max(F.month("ts")).alias("b"), F.max(F.dayofmonth("ts")).alias("n"))
+    none = e.where("event_type = 'none'").agg(F.count("*").cast("int").alias("n")).select(F.lit("none").alias("event_type"), F.lit(1).alias("a"), F.lit(12).alias("b"), "n")
+    counted = lambda a, b: F.explode(F.when(b >= a, F.sequence(a.cast("long"), b.cast("long"))))
+    months = bounds.unionByName(none).select("event_type", "n", counted(F.col("a"), F.col("b")).alias("month"))
+    grid = months.select("event_type", "month", counted(F.lit(1), F.col("n")).alias("day"))
     name = F.element_at(F.array(*[F.lit(m) for m in D.MONTHS]), F.col("month").cast("int"))
-    return grid.select("month", name.alias("name"), "day", F.concat("day", F.lit("/"), "month").alias("date"))
+    return grid.select("event_type", "month", name.alias("name"), "day", F.concat("day", F.lit("/"), "month").alias("date"))
 
 
 @query("""with p as (select s_suppkey + 50 as k, 'new ' || s_suppkey as name from supplier)
@@ -357,14 +365,14 @@ def live_stream(spark, d):
     source = table(spark, d, "events")
     e = spark.readStream.schema(source.schema).parquet(f"{d}/events*.parquet")  # a pattern: the table may be one file
     changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "user_id", "event_type", "event_id")
-    return live.read_to_end(changes, lambda rows: C.positions(rows, F.desc("event_id")), "user_id")
+    return live.read_to_end(changes, lambda rows: ordering.ranked(rows, F.desc("event_id")), "user_id")
 
 
 @query("""select user_id, event_id, event_type, row_number() over (order by ts desc, event_id desc) as pos from events where event_type = 'click'""")
 def events_view(spark, d):
     """A filtered and ordered view of a collection."""
     e = table(spark, d, "events").where(F.col("event_type") == "click")
-    return C.positions(e.select("user_id", "event_id", "event_type", "ts"), F.desc("ts"), F.desc("event_id")).drop("ts")
+    return ordering.ranked(e.select("user_id", "event_id", "event_type", "ts"), F.desc("ts"), F.desc("event_id")).drop("ts")
 
 
 @query("""select c_custkey, c_mktsegment as collection, a as action,

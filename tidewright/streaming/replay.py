@@ -12,6 +12,7 @@ toggles after it decide, which sums up within tasks before anything is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,30 +33,21 @@ class _Member(StatefulProcessor):
     """One member of one list: whether it is in, the last version applied, and changes that wait for earlier ones."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "version long, present boolean")
-        self.waiting = handle.getMapState("waiting", "version long", "op string")
+        self.state = handle.getValueState("state", "version long, present boolean, waiting string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, present = self.now.get() if self.now.exists() else (0, False)
-        began = version
-        came = {int(v): op for part in rows for v, op in zip(part["version"], part["op"], strict=True) if pd.notna(v) and int(v) > version}
-        held = {v: op for (v,), (op,) in self.waiting.iterator()} if self.waiting.exists() else {}
-        for v in sorted(set(came) - set(held)):
-            if v != version + 1:
-                self.waiting.updateValue((v,), (came[v],))
-                held[v] = came[v]
-                continue
-            version, present = v, applied(present, came[v])
-            while version + 1 in held:
-                version += 1
-                present = applied(present, held.pop(version))
-                self.waiting.removeKey((version,))
-        while version + 1 in held:
+        before = self.state.get() or (0, False, "{}")
+        version, present = before[0], before[1]
+        waiting = {int(v): op for v, op in json.loads(before[2]).items()}
+        for part in rows:
+            for v, op in zip(part["version"], part["op"], strict=True):
+                if pd.notna(v) and v > version:
+                    waiting[int(v)] = op
+        while version + 1 in waiting:
             version += 1
-            present = applied(present, held.pop(version))
-            self.waiting.removeKey((version,))
-        if version > began:
-            self.now.update((version, present))
+            present = applied(present, waiting.pop(version))
+        self.state.update((version, present, json.dumps(waiting)))
+        if version > before[0]:
             yield pd.DataFrame({"list": [key[0]], "member": [key[1]], "version": [version], "present": [present]})
 
     def close(self) -> None:
