@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -173,3 +175,32 @@ def same(a: Column, b: Column) -> Column:
 def at_least(c: Column, n: int) -> Column:
     """Whether a text has ``n`` characters or more; null has none."""
     return F.coalesce(F.length(c), F.lit(0)) >= n
+
+
+def _unmarked() -> tuple[str, str]:
+    """Letters that Unicode takes apart into one letter and marks, and these letters, by rule over the basic plane."""
+    marked, plain = [], []
+    for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0xFFFE)]):
+        first, *rest = unicodedata.normalize("NFD", c)
+        if rest and all(unicodedata.category(x) == "Mn" for x in rest):
+            marked.append(c)
+            plain.append(first)
+    return "".join(marked), "".join(plain)
+
+
+_MARKED, _PLAIN = _unmarked()
+
+
+def folded(c: Column) -> Column:
+    """A key that ignores case and accents, for search, joins and order: jo finds jó, whether it is one sign or a letter and a mark."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), _MARKED, _PLAIN)
+
+
+def found_folded(text: Column, needle: str) -> Column:
+    """Whether ``text`` holds ``needle``, case and accents aside."""
+    return F.contains(folded(text), folded(F.lit(needle)))
+
+
+def in_language_order(c: Column, locale: str = "UNICODE_CI_AI") -> Column:
+    """A text that compares, groups and sorts by a collation: letters before their accents and case."""
+    return F.collate(c, locale)

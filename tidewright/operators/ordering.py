@@ -162,3 +162,31 @@ def sessions(df: DataFrame, key: str, at: str, gap_seconds: float) -> DataFrame:
     inner = inner.alias("l").join(sums.alias("r"), (F.col(f"l.{part}") == F.col(f"r.{part}")) & F.col("l.k").eqNullSafe(F.col("r.k")))
     out = inner.groupBy(F.col("l.k").alias(key), (F.col("l.n") + F.col("r.earlier")).alias("n")).agg(F.min("l.at").alias("start"), F.max("l.at").alias("end"), F.count("*").alias("rows"))
     return out.drop("n")
+
+
+def moving_sums(df: DataFrame, key: str, at: str, seconds: float, **sums: str) -> DataFrame:
+    """``df`` with sums of whole-number columns over the rows of its key from ``seconds`` before it up to its own time.
+
+    Rows of the same time see each other, as a RANGE frame has it. A row counts from its time on and is taken back
+    after ``seconds``, so a moving sum is a running sum of additions and subtractions in the order of time: each
+    change is added once, whatever the frame holds, and ranges of the order hand their totals on. Null values
+    count as zero; rows without time get null; rows without key are a key of their own.
+    """
+    now, back = F.unix_micros(F.col(at).cast("timestamp")), int(seconds * 1_000_000)
+    values = {n: F.coalesce(F.col(c).cast("long"), F.lit(0)) for n, c in sums.items()}
+    timed = df.where(F.col(at).isNotNull()).select(F.col(key).alias("k"), now.alias("t"), *[v.alias(n) for n, v in values.items()])
+    # What comes at a time counts at it; what leaves does so right after it.
+    came = timed.select("k", (F.col("t") * 2).alias("o"), *sums)
+    left = timed.select("k", ((F.col("t") + back) * 2 + 1).alias("o"), *[(-F.col(n)).alias(n) for n in sums])
+    changes = came.union(left).groupBy("k", "o").agg(*[F.sum(n).alias(n) for n in sums])
+    rows, part, row = laid_out(changes, F.col("o"), within=("k",))
+    near = Window.partitionBy(part, "k").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.select(part, "k", "o", *[F.sum(n).over(near).alias(n) for n in sums])
+    totals = rows.groupBy(part, "k").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy("k").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(part, "k", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
+    i, t = inner.alias("i").where("o % 2 = 0"), totals.alias("t")
+    running = i.join(t, (F.col(f"i.{part}") == F.col(f"t.{part}")) & F.col("i.k").eqNullSafe(F.col("t.k"))).select("i.k", "i.o", *[(F.col(f"i.{n}") + F.col(f"t.{n}")).alias(n) for n in sums])
+    d, s = df.withColumn(free("_o", df.columns), now * 2).alias("d"), running.alias("s")
+    met = d.join(s, F.col(f"d.{key}").eqNullSafe(F.col("s.k")) & (F.col(f"d.{free('_o', df.columns)}") == F.col("s.o")), "left")
+    return met.select(*[F.col(f"d.`{c}`") for c in df.columns if c not in sums], *[F.col(f"s.{n}") for n in sums])

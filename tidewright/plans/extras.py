@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import ordering
+from tidewright.functions import tables as U
+from tidewright.functions import text as T
+from tidewright.operators import grouping, intervals, ordering
 from tidewright.sources.tables import table
 from tidewright.streaming import event_time, live, replay
 from tidewright.streaming.parts import in_parts
@@ -80,13 +82,20 @@ def ext_cursor_next(spark, d):
     return ordering.page_after(events, [("ts", True), ("event_id", True)], after, 100).select("event_id", "user_id", "event_type")
 
 
-@query("""with e as (select user_id, max(struct_pack(ts, event_id)) as last, ts from events group by user_id, ts)
-select o_orderkey, e.last.event_id as event_id, epoch_us(e.last.ts) as at_us from orders asof left join e on o_custkey = user_id and o_orderdate >= e.ts""")
+def _placed_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a time and a user among those of events."""
+    at = F.timestamp_add("SECOND", F.col("o_orderkey") * 7919 % 2_592_000, F.lit("2024-01-01").cast("timestamp_ntz"))
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("user_id"), at.alias("at"))
+
+
+_PLACED = "(select o_orderkey, o_custkey % 200 as user_id, timestamp '2024-01-01' + to_seconds(o_orderkey * 7919 % 2592000) as at_time from orders)"
+
+
+@query(f"""with e as (select user_id, max(struct_pack(ts, event_id)) as last, ts from events group by user_id, ts)
+select o_orderkey, e.last.event_id as event_id, epoch_us(e.last.ts) as at_us from {_PLACED} o asof left join e on o.user_id = e.user_id and o.at_time >= e.ts""")
 def ext_asof_join(spark, d):
-    """Each order with the last event of its customer's id that is not later."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
-    events = table(spark, d, "events").select("ts", "event_id", F.col("user_id").alias("o_custkey"))
-    rows = ordering.as_of(orders, events, "o_custkey", "o_orderdate", "ts")
+    """Each order with the last event of its user that is not later."""
+    rows = ordering.as_of(_placed_orders(spark, d), table(spark, d, "events").select("ts", "event_id", "user_id"), "user_id", "at", "ts")
     return rows.select("o_orderkey", F.col("found.event_id").alias("event_id"), _micros(F.col("found.ts")).alias("at_us"))
 
 
@@ -191,3 +200,126 @@ def ext_live_deliveries(spark, d):
     op = F.when(F.col("event_type") == "error", "delete").otherwise("set")
     changes = e.select(F.col("event_id").alias("seq"), op.alias("op"), "user_id", "event_type", "event_id", F.floor(F.col("event_id") * PARTS / n).alias("part"))
     return live.deliveries(_parts(changes), lambda rows: ordering.ranked(rows, F.desc("event_id")), "user_id")
+
+
+_DELIVERY = "(select o_orderkey, user_id, epoch_us(at_time) as a, epoch_us(at_time) + (1 + o_orderkey % 97) * (1 + o_orderkey % 97) * 60000000 as b from " + _PLACED + ")"
+
+
+def _delivery_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a span that begins at their time and is a minute to six days long."""
+    k, a = F.col("o_orderkey") % 97 + 1, _micros(F.col("at"))
+    return _placed_orders(spark, d).select("o_orderkey", "user_id", a.alias("a"), (a + k * k * 60_000_000).alias("b"))
+
+
+@query(f"select o_orderkey, event_id from {_DELIVERY} s join events e on e.user_id = s.user_id and epoch_us(ts) >= a and epoch_us(ts) < b")
+def ext_interval_join(spark, d):
+    """Events of a user within the spans of the user's orders."""
+    events = table(spark, d, "events").select("event_id", "user_id", _micros(F.col("ts")).alias("t"))
+    met = intervals.points_in_spans(events, _delivery_spans(spark, d), "t", "a", "b", on=(("user_id", "user_id"),))
+    return met.select(F.col("span.o_orderkey").alias("o_orderkey"), F.col("point.event_id").alias("event_id"))
+
+
+@query(f"""with v as (select s_suppkey, 1704067200000000 + s_suppkey * 7919 % 2592000 * 1000000 as a, 1704067200000000 + (s_suppkey * 7919 % 2592000 + (s_suppkey % 13) * (s_suppkey % 13) * 60) * 1000000 as b from supplier)
+select s_suppkey, count(*) as orders, min(o_orderkey) as first_order, sum(least(v.b, s.b) - greatest(v.a, s.a))::bigint as shared_us from v join {_DELIVERY} s on v.a < s.b and s.a < v.b and v.a < v.b group by s_suppkey""")
+def ext_span_overlap(spark, d):
+    """Orders whose spans overlap a supplier's span, and the time that they share."""
+    k = F.col("s_suppkey")
+    a = F.lit(1_704_067_200_000_000) + k * 7919 % 2_592_000 * 1_000_000
+    visits = table(spark, d, "supplier").select("s_suppkey", a.alias("a"), (a + (k % 13) * (k % 13) * 60_000_000).alias("b"))
+    met = intervals.overlapping(visits, _delivery_spans(spark, d), "a", "b")
+    shared = F.least("left.b", "right.b") - F.greatest("left.a", "right.a")
+    return met.groupBy(F.col("left.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("orders"), F.min("right.o_orderkey").alias("first_order"), F.sum(shared).alias("shared_us"))
+
+
+@query("""select event_id, count(*) over w as rows, (sum(round(value * 100)::bigint) over w)::bigint as cents from events
+ window w as (partition by event_type order by ts range between interval 36 hour preceding and current row)""")
+def ext_moving_sums(spark, d):
+    """For each event, those of its type in the 36 hours up to it, and their value."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("value"), F.lit(1).alias("one"))
+    return ordering.moving_sums(rows, "event_type", "ts", 36 * 3600, rows="one", cents="value").select("event_id", "rows", "cents")
+
+
+_QUANTITY = "sum(l_quantity::bigint)::bigint as quantity, sum(l_linenumber::bigint)::bigint as lines"
+_YEAR = "(select *, year(l_shipdate)::bigint as year from lineitem)"
+
+
+def _shipped(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").cast("long").alias("year"), "l_suppkey", F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("n"))
+
+
+_DIMS = ["l_returnflag", "l_linestatus", "year"]
+_GROUPED = "select l_returnflag, l_linestatus, year, grouping_id(l_returnflag, l_linestatus, year)::bigint as grouping_id, count(distinct l_suppkey) as distinct_l_suppkey, " + _QUANTITY + " from " + _YEAR
+
+
+@query(_GROUPED + " group by cube (l_returnflag, l_linestatus, year)")
+def ext_cube(spark, d):
+    """Sums and suppliers for every set of three dimensions."""
+    return grouping.grouped(_shipped(spark, d), _DIMS, grouping.cube_sets(_DIMS), "l_suppkey", quantity="q", lines="n")
+
+
+@query(_GROUPED + " group by rollup (l_returnflag, l_linestatus, year)")
+def ext_rollup(spark, d):
+    """Sums and suppliers for each prefix of three dimensions."""
+    return grouping.grouped(_shipped(spark, d), _DIMS, grouping.rollup_sets(_DIMS), "l_suppkey", quantity="q", lines="n")
+
+
+@query(_GROUPED + " group by grouping sets ((l_returnflag, year), (l_linestatus), ())")
+def ext_grouping_sets(spark, d):
+    """Sums and suppliers for some sets of dimensions."""
+    return grouping.grouped(_shipped(spark, d), _DIMS, [("l_returnflag", "year"), ("l_linestatus",), ()], "l_suppkey", quantity="q", lines="n")
+
+
+@query("""select event_type, day(ts)::bigint // 8 as week, count(distinct user_id) as users, count(*) as rows, true as users_close, true as median_close from events group by 1, 2""")
+def ext_merged_sketches(spark, d):
+    """Users and median values of each eight days from daily sketches, against the exact ones: within 5 % and 3 % of rank."""
+    e = table(spark, d, "events").select("event_type", F.dayofmonth("ts").cast("long").alias("day"), "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    week = F.expr("day div 8").alias("week")
+    merged = grouping.merged_sketches(grouping.sketches(e, [F.col("event_type"), F.col("day")], "user_id", "cents"), F.col("event_type"), week)
+    merged = merged.select("event_type", "week", "rows", F.hll_sketch_estimate("distinct_sketch").alias("guess"), F.kll_sketch_get_quantile_bigint("quantile_sketch", F.lit(0.5)).alias("median"))
+    below = F.sum((F.col("cents") < F.col("median")).cast("long")) / F.count("cents"), F.sum((F.col("cents") <= F.col("median")).cast("long")) / F.count("cents")
+    exact = e.withColumn("week", week).join(merged, ["event_type", "week"]).groupBy("event_type", "week", "rows", "guess")
+    exact = exact.agg(F.count_distinct("user_id").alias("users"), below[0].alias("low"), below[1].alias("high"))
+    close = F.abs(F.col("guess") - F.col("users")) <= F.greatest(F.lit(1), F.col("users") * 0.05)
+    return exact.select("event_type", "week", "users", "rows", close.alias("users_close"), ((F.col("low") <= 0.53) & (F.col("high") >= 0.47)).alias("median_close"))
+
+
+@query("""with n as (select day(ts)::bigint % 2 as odd, user_id, count(*) as n from events group by 1, 2), t as (select odd, sum(n) as all_n from n group by 1)
+select odd, user_id, n as exact, true as never_below, true as close from n join t using (odd)""")
+def ext_count_min(spark, d):
+    """Events of each user on odd and even days from daily count-min sketches: never below the count, and close to it."""
+    e = table(spark, d, "events").select(F.dayofmonth("ts").cast("long").alias("day"), "user_id")
+    cells = grouping.count_min(e, [F.col("day")], "user_id").groupBy((F.col("day") % 2).alias("odd"), "r", "c").agg(F.sum("n").alias("n"))
+    exact = e.groupBy((F.col("day") % 2).alias("odd"), "user_id").agg(F.count("*").alias("exact"))
+    total = exact.groupBy("odd").agg(F.sum("exact").alias("total"))
+    guess = grouping.estimated(cells, ["odd"], exact.select("odd", "user_id"), "user_id")
+    met = exact.join(guess, ["odd", "user_id"]).join(total, "odd")
+    bound = F.greatest(F.lit(1), F.col("total") * 8 / grouping.COLUMNS)
+    return met.select("odd", "user_id", "exact", (F.col("estimate") >= F.col("exact")).alias("never_below"), (F.col("estimate") - F.col("exact") <= bound).alias("close"))
+
+
+@query("""with v as (select doc_id, i - 1 as line_no, string_split(text, chr(10))[i] as line from documents, lateral (select unnest(range(1, len(string_split(text, chr(10))) + 1)) as i))
+select doc_id, line_no::bigint as line_no, contains(lower(line), 'etre') as plain from v where contains(strip_accents(lower(line)), 'etre')""")
+def ext_folded_search(spark, d):
+    """Lines that hold a word whatever its accents and case, and whether case alone would have found it."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    plain = F.contains(F.lower("line"), F.lit("etre")).alias("plain")
+    return lines.where(T.found_folded(F.col("line"), "ÊTRE")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), plain)
+
+
+@query("""with w as (select distinct lang, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) as word from documents where lang in ('fr', 'es', 'de')),
+k as (select lang, strip_accents(lower(word)) as key, count(*) as spellings, count(distinct lower(word)) as by_case from w group by 1, 2)
+select lang, key, spellings, by_case, count(*) over (partition by key) as langs from k where spellings > 1""")
+def ext_folded_groups(spark, d):
+    """Words of three languages that differ by accents or case only, by their common key, and in how many languages it has several."""
+    words = table(spark, d, "documents").where("lang in ('fr', 'es', 'de')").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]+"), 0)).alias("word")).distinct()
+    keys = words.groupBy("lang", T.folded(F.col("word")).alias("key")).agg(F.count("*").alias("spellings"), F.count_distinct(F.lower("word")).alias("by_case")).where("spellings > 1")
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("langs")), "key").select("lang", "key", "spellings", "by_case", "langs")
+
+
+@query("""with e as (select user_id, event_type, event_id, case when event_type = lag(event_type) over (partition by user_id order by event_id) then 0 else 1 end as cut from events),
+s as (select *, sum(cut) over (partition by user_id order by event_id rows unbounded preceding) as g from e)
+select user_id, event_type, min(event_id) as first_id, max(event_id) as last_id, count(*) as n from s group by user_id, g, event_type""")
+def ext_streaks(spark, d):
+    """Stretches of events of one type of each user, by a table function."""
+    rows = U.streaks(table(spark, d, "events"), "user_id", "event_type", "event_id")
+    return rows.select(F.col("key").cast("long").alias("user_id"), F.col("value").alias("event_type"), F.col("first").alias("first_id"), F.col("last").alias("last_id"), "n")
