@@ -87,3 +87,28 @@ def test_live_snapshot_is_complete_after_each_change(spark, tmp_path):
     assert seen == [["b", "a"], ["c", "b"]]
     batch = live.latest(spark.read.schema(schema).json(str(source)))
     assert [r.id for r in view(batch).collect()] == seen[-1]
+
+
+def test_a_stopped_subscription_delivers_no_more(spark, tmp_path):
+    source, seen = tmp_path / "changes", []
+    source.mkdir()
+    changes = spark.readStream.schema("seq long, op string, id string").json(str(source))
+    query = live.subscribe(changes, lambda df: seen.append(df.count()), lambda df: df, str(tmp_path / "state"), processingTime="1 second")
+    (source / "1.json").write_text(json.dumps({"seq": 1, "op": "set", "id": "a"}))
+    query.processAllAvailable()
+    before = list(seen)
+    query.stop()
+    (source / "2.json").write_text(json.dumps({"seq": 2, "op": "set", "id": "b"}))
+    assert before[-1] == 1 and not query.isActive and seen == before
+
+
+def test_chapters_that_are_missing_keep_what_is_shown(spark):
+    rows = spark.createDataFrame([(["a", "b"], c) for c in (0, 1, 2, -1, None)] + [(None, 0), ([], 0)], "chapters array<string>, c int")
+    got = [r[0] for r in rows.select(corpus.chapter_or_kept(F.col("chapters"), F.col("c"), F.lit("kept"))).collect()]
+    assert got == ["a", "b", "kept", "kept", "kept", "kept", "kept"]
+
+
+def test_named_keeps_columns_of_its_own_names(spark):
+    hits = spark.createDataFrame([(1, "own", "k", "n"), (2, "own", "k", "n"), (None, "own", "k", "n")], "book int, name string, _key string, _name string")
+    names = spark.createDataFrame([(1, "Dim")], "book int, name string")
+    assert rows(corpus.named(hits, names)) == sorted([(1, "Dim", "k", "n"), (2, "own", "k", "n"), (None, "own", "k", "n")], key=str)

@@ -26,6 +26,20 @@ def date_of_ms(ms: Column, zone: str = "UTC") -> Column:
     return day_month_year(F.timestamp_millis(ms), zone)
 
 
+def today(now_ms: int, zone: str = "UTC") -> Column:
+    """dd/MM/yyyy of now where the device is."""
+    return date_of_ms(F.lit(now_ms), zone)
+
+
+def iso_of_ms(ms: Column) -> Column:
+    """The ISO text of epoch milliseconds, in UTC whatever the session's zone."""
+    days, rest = F.floor(ms / DAY_MS), F.pmod(ms, F.lit(DAY_MS))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(rest / 3_600_000), two(rest / 60_000 % 60), two(rest / 1000 % 60))
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")), "yyyy-MM-dd")
+    return F.concat(day, F.lit("T"), clock, F.lit("."), F.lpad((rest % 1000).cast("string"), 3, "0"), F.lit("Z"))
+
+
 def millis(ts: Column) -> Column:
     """Epoch milliseconds of a timestamp without zone, taken as UTC."""
     return F.unix_millis(ts.cast("timestamp"))

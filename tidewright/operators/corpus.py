@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordering import free
 from tidewright.functions.text import holds
 
 #: Hits that a search returns at most, and the fewest characters it takes.
@@ -34,10 +35,16 @@ def search(verses: DataFrame, query: str, *order: str, text: str = "text", most:
 
 
 def named(hits: DataFrame, names: DataFrame, key: str = "book") -> DataFrame:
-    """Hits with the dimension's name at their index, else their own."""
-    dim = names.select(F.col(key).alias("_key"), F.col("name").alias("_name"))
-    out = hits.join(dim, F.col(key) == F.col("_key"), "left")
-    return out.withColumn("name", F.coalesce("_name", "name")).drop("_key", "_name")
+    """Hits with the dimension's name at their index, else their own; a null index has no name in the dimension."""
+    at, name = free("_key", hits.columns), free("_name", hits.columns)
+    dim = names.select(F.col(key).alias(at), F.col("name").alias(name))
+    out = hits.join(dim, F.col(f"`{key}`") == F.col(at), "left")
+    return out.withColumn("name", F.coalesce(name, "name")).drop(at, name)
+
+
+def chapter_or_kept(chapters: Column, chapter: Column, kept: Column) -> Column:
+    """The verses of a chapter, from 0; ``kept``, what is shown already, where book or chapter is missing."""
+    return F.coalesce(F.when(chapter >= 0, F.get(chapters, chapter)), kept)
 
 
 def reference(name: Column, chapter: Column, verse: Column) -> Column:

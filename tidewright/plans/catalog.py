@@ -491,3 +491,68 @@ def link_targets(spark, d):
         "p_partkey", T.uri_component(F.concat("p_name", F.lit(" a+b/ç!"))).alias("encoded"), T.store_url(platform, F.lit("https://a"), F.lit("https://i"), F.lit("https://s")).alias("store"),
         to["kind"].alias("kind"), to["to"].alias("goes_to"), found.alias("by_key"),
     )
+
+
+@query("""select event_id, '14/01/2024' as today, '2024-01-15T01:30:00.007Z' as now, strftime(ts - interval 3 hour, '%d/%m/%Y') = '14/01/2024' as is_today, strftime(make_timestamp(epoch_ms(ts) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as at
+ from (select event_id, date_trunc('millisecond', ts) as ts from events)""")
+def today_labels(spark, d):
+    """Today and now as texts, from one moment, and the rows of today where the device is."""
+    now, zone = 1_705_282_200_007, "-03:00"
+    ms = D.millis(F.col("ts"))
+    today = D.today(now, zone)
+    return table(spark, d, "events").select("event_id", today.alias("today"), D.iso_of_ms(F.lit(now)).alias("now"), (D.date_of_ms(ms, zone) == today).alias("is_today"), D.iso_of_ms(ms).alias("at"))
+
+
+@query("select event_id, tab from events, (select unnest(['aniversariantes', 'click']) as tab) where case event_type when 'signup' then 'aniversariantes' else event_type end = tab")
+def agenda_tabs(spark, d):
+    """The rows of two tabs, one of which has the plural of its type's name."""
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "signup", "aniversariante").otherwise(F.col("event_type")).alias("type"))
+    shown = [C.agenda_tab(rows, tab).select("event_id", F.lit(tab).alias("tab")) for tab in ("aniversariantes", "click")]
+    return shown[0].union(shown[1])
+
+
+@query("select p_partkey, p_partkey % 66 as book, case when p_partkey % 66 < 39 then 'AT' else 'NT' end as part, p_partkey % 66 = 39 as opens from part")
+def part_headers(spark, d):
+    """The part of each book of 66, and the book that opens the second."""
+    book = F.col("p_partkey") % 66
+    return table(spark, d, "part").select("p_partkey", book.alias("book"), corpus.part_of(book).alias("part"), (book == corpus.SECOND_PART).alias("opens"))
+
+
+@query("""with c as (select conv_id, list(text order by turn, role, text) as chapters from conversations group by 1)
+select conv_id, case when conv_id % 4 = 3 then null else conv_id % 9 - 2 end as asked, case when conv_id % 4 <> 3 and conv_id % 9 >= 2 and conv_id % 9 - 2 < len(chapters) then chapters[(conv_id % 9 - 1)::int] else 'kept' end as text from c""")
+def chapter_lookup(spark, d):
+    """A chapter of each conversation that may not be there; what was shown stays then."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: t["text"]).alias("chapters"))
+    asked = F.when(F.col("conv_id") % 4 != 3, F.col("conv_id") % 9 - 2)
+    return nested.select("conv_id", asked.alias("asked"), corpus.chapter_or_kept(F.col("chapters"), asked.cast("int"), F.lit("kept")).alias("text"))
+
+
+@query("select c_custkey, 'data:' || c_custkey as photo from customer where c_custkey = 8 union all select c_custkey, 'own' from customer where c_custkey % 10 = 7")
+def point_reads(spark, d):
+    """A user's photo, none where it is empty or there is no such user; and the rows of one owner, none for nobody."""
+    users = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("data:"), F.col("c_custkey").cast("string"))).otherwise(F.lit("")).alias("fotoBase64"), (F.col("c_custkey") % 10).cast("string").alias("authorId"))
+    photos = [C.photo(users, uid).select(F.lit(int(uid)).cast("long").alias("c_custkey"), F.col("fotoBase64").alias("photo")) for uid in ("8", "9", "-1")]
+    mine = [C.own(users, uid).select(F.col("id").cast("long"), F.lit("own")) for uid in ("7", "")]
+    return photos[0].union(photos[1]).union(photos[2]).union(mine[0]).union(mine[1])
+
+
+@query("with l as (select p as part, e.* from (select unnest([0, 1]) as p) q, lateral (select * from (select *, row_number() over (partition by user_id order by event_id desc) as n from (select *, max(event_id) over () as m from events) where event_id <= m // 2 or p = 1) where n = 1 and event_type <> 'error') e) " + """
+select 'agenda' as view, part, user_id, row_number() over (partition by part order by day(ts) || '/' || month(ts), user_id) as pos, day(ts) || '/' || month(ts) as shown from l
+union all select 'prayers', part, user_id, row_number() over (partition by part order by ts desc, user_id desc), case when event_type = 'view' then '' else event_type end from l
+union all select 'notes', part, user_id, row_number() over (partition by part order by ts desc, user_id desc), event_type from l where user_id % 10 = 7""")
+def live_views(spark, d):
+    """Three subscriptions after each of two batches: by the text of a date, with defaults, and of one owner."""
+    e = table(spark, d, "events")
+    half = F.floor(F.lit(e.agg(F.max("event_id")).first()[0] or 0) / 2)
+    changes = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "user_id", "event_type", "ts")
+    parts = [changes.where(F.col("seq") <= half), changes.where(F.col("seq") > half)]
+    date = F.concat(F.dayofmonth("ts").cast("string"), F.lit("/"), F.month("ts").cast("string"))
+    newest = F.desc("ts"), F.desc("user_id")
+    views = {
+        "agenda": lambda rows: ordering.ranked(rows.select("user_id", date.alias("shown")), F.col("shown"), F.col("user_id")),
+        "prayers": lambda rows: ordering.ranked(C.with_defaults(rows.select("user_id", "ts", F.when(F.col("event_type") != "view", F.col("event_type")).alias("shown")), shown=""), *newest).drop("ts"),
+        "notes": lambda rows: ordering.ranked(C.own(rows.select("user_id", "ts", F.col("event_type").alias("shown"), (F.col("user_id") % 10).cast("string").alias("authorId")), "7"), *newest).drop("ts", "authorId"),
+    }
+    shown = [live.deliveries(parts, view, "user_id").select(F.lit(name).alias("view"), "part", "user_id", "pos", "shown") for name, view in views.items()]
+    return shown[0].union(shown[1]).union(shown[2])
