@@ -75,3 +75,13 @@ def test_repeated_rows_and_empty(spark):
     got = sorted(tuple(x)[:4] for x in d.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
     assert d.near_embeddings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_of_one_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (7, [-1.0, 0.0]), (7, [-1.0, 0.01]), (9, [0.0, -1.0])]
+    got = sorted(tuple(x)[:4] for x in d.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (7, 1, 7, True), (7, 1, 7, True), (9, 0, 9, True)]
+
+
+def test_beams_are_widened_before_a_scan():
+    assert not d._scans(4 * d.BEAM, 10) and d._scans(16 * d.BEAM, 10) and not d._scans(16 * d.BEAM, 1 << 30)

@@ -5,7 +5,8 @@ its graph in one task, and every node queries the graph of every shard, in slice
 a task reads one shard's graph once and streams a slice through it. A beam search evaluates neighbours
 until its beam holds no unexpanded node; all evaluated nodes of cosine ``LEAST`` or more, in double
 precision, are links. Where a whole beam is above the threshold, more may lie beyond it, and these
-queries are repeated with a beam four times as wide, or by a scan of the shard once that is cheaper.
+queries are repeated with a beam four times as wide and, where that is not enough either, by a scan of the shard
+once that is cheaper.
 
 Each task audits itself: for some of its queries the shard is scanned by brute force, more and more of
 them until ``TRUE_LINKS`` links to other nodes have been seen or ``AUDITED`` queries scanned. If fewer than
@@ -48,12 +49,17 @@ from tidewright.sources.tables import table
 LEAST, SHARDS, PER_SHARD, QUERIES, SLICE = 0.9, 6, 200_000, 512, 16_384
 #: Neighbours of a node above the ground level (twice as many on it), beams, nodes expanded at once.
 DEGREE, BEAM_BUILD, BEAM, EXPAND = 12, 48, 16, 4
-#: A scan of a shard of n nodes costs no more than a beam of n / SCAN, as it gathers no rows; only wider beams give way to it.
+#: A scan of a shard of n nodes costs no more than a beam of n / SCAN, as it gathers no rows; only beams widened before give way to it.
 SCAN = 64
 #: Queries that a task audits first and at most, links it must see to stop, and the part that must be found.
 FIRST, AUDITED, TRUE_LINKS, RECALL = 64, 1024, 200, 0.98
 
 
+def _scans(wide: int, n: int) -> bool:
+    """Whether beams of ``wide`` give way to a scan of n nodes: not before a widened beam has been tried."""
+    return wide > 4 * BEAM and wide * SCAN >= n
+
+
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest of each row, in descending order."""
     if sims.shape[1] > k:
@@ -205,7 +211,7 @@ class Graph:
             step = max(1, min(QUERIES, (1 << 24) // (n + 1)))
             for i in range(0, len(todo), step):
                 own = todo[i : i + step]
-                if wide > BEAM and wide * SCAN >= n:
+                if _scans(wide, n):
                     hits = np.stack(np.nonzero(q[own] @ self.x.T >= rough))
                     full = np.zeros(len(own), bool)
                 else:
@@ -307,7 +313,7 @@ def _searched(ef: int):
                     audited |= {k: int(pairs[k - i]) for k in audited if i <= k < i + len(mine)}
                     e, f = forest(mine[q], nodes[v])
                     found += [np.stack([mine, n, np.ones_like(n)]), np.stack([e, f, np.zeros_like(e)])[:, e != f]]
-                if sum(audited.values()) >= RECALL * true or wide > BEAM and wide * SCAN >= len(nodes):
+                if sum(audited.values()) >= RECALL * true or _scans(wide, len(nodes)):
                     break
                 wide *= 4
             rows += [*found, np.array([[true], [sum(audited.values())], [2]])]
@@ -331,30 +337,31 @@ def near_embeddings(vectors: DataFrame, least_shards: int = SHARDS) -> DataFrame
             v = [np.asarray(x, np.float32).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(v, pa.binary())], names=["node", "copies", "vector"])
 
-    groups = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
-    groups = written(groups, "vectors-distinct")
+    groups = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    # Rows of one id may hold different vectors, so a vector's node has a number of its own, which the written table fixes.
+    groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "vectors-distinct")
     nodes = written(
         groups.select("node", "copies", "embedding").mapInArrow(as_bytes, "node long, copies long, vector binary").withColumn("dim", F.expr("cast(length(vector) / 4 as int)")), "vectors-nodes"
     )
     n = nodes.count()
     shards, slices = max(least_shards, -(-n // PER_SHARD)), max(1, -(-n // SLICE))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     index = written(dealt.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, nodes binary, copies binary, vectors binary, levels array<binary>"), "vectors-index")
-    asked = nodes.withColumn("task", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(slices)).cast("int"))
+    asked = nodes.withColumn("task", F.pmod(F.xxhash64("vector", F.lit(2)), F.lit(slices)).cast("int"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "task", "node", "vector")
     spread = index.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     keys, ef = ("dim", "shard", "task"), BEAM
     while True:
         found = written(asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_searched(ef), "a long, b long, row int"), "vectors-found")
         true, seen = found.where("row = 2").agg(F.sum("a"), F.sum("b")).first()
-        if not true or seen >= RECALL * true or ef > BEAM and ef * SCAN >= n:
+        if not true or seen >= RECALL * true or _scans(ef, n):
             break
         ef *= 4
     counts = found.where("row = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n_links"))
     roots = written(components(found.where("row = 0").select("a", "b")), "vectors-roots")
-    least = least_of(roots, roots.select("node", F.col("node").alias("value"))).withColumnRenamed("least", "component_id")
-    by_node = groups.select("key", "node", "copies").join(counts, "node", "left").join(least, "node", "left")
-    by_node = by_node.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    least = least_of(roots, groups.select("node", F.col("least_id").alias("value"))).withColumnRenamed("least", "component_id")
+    by_node = groups.select("key", "node", "least_id", "copies").join(counts, "node", "left").join(least, "node", "left")
+    by_node = by_node.select("key", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least_id").alias("component_id"))
     out = rows.select("vec_id", "key").join(by_node, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select(
