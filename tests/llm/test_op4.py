@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tidewright.llm import op4_mixing as d
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
@@ -76,3 +78,20 @@ def test_empty_and_blank(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert d.mixed_documents(none).count() == 0 and d.mix(none)[0].count() == 0
     assert d.mixed_documents(spark.createDataFrame([(1, None, None, 0), (2, "", "a", 0)], SCHEMA)).count() == 0
+
+
+def test_permutations_of_every_size(spark):
+    """One to one and in range for every n up to 5,000, odd and even numbers of bits, and larger ones around a power of two."""
+    bits = F.length(F.bin(F.col("n") - 1))
+    sizes = spark.range(1, 5001).withColumnRenamed("id", "n").unionByName(spark.createDataFrame([(n,) for n in (16_384, 16_385, 32_768, 32_769, 100_003)], "n long"))
+    rows = sizes.repartition(8).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    got = rows.select("n", d.permuted(F.col("x"), F.col("n"), bits, F.lit(5)).alias("y"))
+    wrong = got.groupBy("n").agg(F.count_distinct("y").alias("k"), F.min("y").alias("a"), F.max("y").alias("b")).where("k <> n or a <> 0 or b <> n - 1")
+    assert wrong.count() == 0
+
+
+def test_every_slot_ends_on_a_block(spark):
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 90), "abc"[k % 3]) for k in range(3000)], "doc_id long, text string, source string")
+    slots, pieces, _ = d.mix(docs, block=4)
+    met = slots.join(pieces.select("source_no", "block").distinct(), ["source_no", "block"], "left_anti")
+    assert slots.count() > 1000 and met.count() == 0

@@ -3,9 +3,10 @@
 The words of each source, its documents in id order within hash buckets, are packed into blocks
 of a fixed number of words. A source's target is turned into slots: whole passes over its blocks
 and a part of one more pass. Slot ``k`` of a source goes through the source's pseudorandom
-permutation, a Feistel network that is walked until it ends at a block, to a block index, and through a hash to one of the output shards; so the counts of a
-source over the shards are a multinomial draw, while each source's sum stays at its target. Slots
-and blocks are joined by block index.
+permutation, a Feistel network that is walked until it ends at a block, to a block index, and
+through a hash to one of the output shards; so the counts of a source over the shards are a
+multinomial draw, while each source's sum stays at its target. Slots and blocks are joined by block
+index.
 
 Word offsets come from a two-level prefix sum (hash buckets of a source, then documents of a
 bucket), so that a source with a third of all rows is spread over many tasks. Sources are numbered in
@@ -36,7 +37,7 @@ BLOCK, SHARD_WORDS, CAP, SEED = 64, 1 << 20, 3, 17
 #: Documents of a source that one offset bucket holds, about.
 PER_BUCKET = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rounds of a Feistel network, and the most walks through it: all but one in 2**WALKS numbers end sooner.
+#: Rounds of a Feistel network, and the most walks through it: all but one in 2**WALKS numbers end sooner, and that one is an error.
 ROUNDS, WALKS = 4, 64
 
 
@@ -72,23 +73,27 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int =
     return plan.select("source", "i", "source_size", "n_docs", target.alias("target"))
 
 
-def permuted(x: Column, n: Column, half: Column, key: Column) -> Column:
-    """Place of ``x`` in a pseudorandom permutation of the numbers below ``n``; ``half`` is half the bits that n takes.
+def permuted(x: Column, n: Column, bits: Column, key: Column) -> Column:
+    """Place of ``x`` in a pseudorandom permutation of the numbers below ``n``; ``bits`` is how many bits n - 1 takes.
 
-    A Feistel network permutes all numbers of twice ``half`` bits. Where it ends above n, it is
-    walked again from there, so numbers below n are permuted among themselves.
+    A Feistel network, its halves of unequal width where ``bits`` is odd, permutes all numbers of so many bits,
+    fewer than 2 n. Where it ends above n, it is walked again from there, so numbers below n are permuted among
+    themselves. Fewer than half of the steps stay outside; one that is still there after ``WALKS`` is an error.
     """
-    mask = F.pow(F.lit(2.0), half).cast("long") - 1
+    two = lambda b: F.pow(F.lit(2.0), b).cast("long")
+    low = two(F.ceil(bits / 2))
+    masks = two(F.floor(bits / 2)) - 1, low - 1
 
     def network(v: Column) -> Column:
-        left, right = F.floor(v / (mask + 1)).cast("long"), v.bitwiseAND(mask)
-        for r in range(ROUNDS):
-            left, right = right, left.bitwiseXOR(F.xxhash64(key, right, F.lit(r)).bitwiseAND(mask))
-        return left * (mask + 1) + right
+        left, right = F.floor(v / low).cast("long"), v.bitwiseAND(masks[1])
+        for r in range(ROUNDS):  # an even number, so that the halves have their own widths at the end
+            left, right = right, left.bitwiseXOR(F.xxhash64(key, right, F.lit(r)).bitwiseAND(masks[r % 2]))
+        return left * low + right
 
     once = network(x)
     steps = F.array(*[F.lit(k) for k in range(WALKS)])
-    return F.when(once < n, once).otherwise(F.aggregate(steps, once, lambda v, _: F.when(v < n, v).otherwise(network(v))))
+    walked = F.aggregate(steps, once, lambda v, _: F.when(v < n, v).otherwise(network(v)), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a slot of the mix ended on no block")).cast("long")))
+    return F.when(once < n, once).otherwise(walked)
 
 
 def _offsets(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -141,7 +146,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
         .withColumn("shards", shards)
         .withColumn("n_blocks", n_blocks)
         .withColumn("n_slots", (passes * n_blocks + F.least(part, n_blocks)).cast("long"))
-        .withColumn("half", F.ceil(F.greatest(F.lit(1), F.length(F.bin(F.col("n_blocks") - 1))) / 2).cast("int"))
+        .withColumn("bits", F.length(F.bin(F.col("n_blocks") - 1)))
         .withColumn("key", F.xxhash64("source", F.lit(seed + 1)))
         .where("n_slots > 0")
         .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / wide))))
@@ -149,7 +154,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
         .withColumn("slot", F.explode(F.sequence(F.col("run") * wide, F.least((F.col("run") + 1) * wide, F.col("n_slots")) - 1)))
         .select(
             F.col("i").alias("source_no"), "slot",
-            permuted(F.pmod(F.col("slot"), F.col("n_blocks")), F.col("n_blocks"), F.col("half"), F.col("key")).alias("block"),
+            permuted(F.pmod(F.col("slot"), F.col("n_blocks")), F.col("n_blocks"), F.col("bits"), F.col("key")).alias("block"),
             F.pmod(F.xxhash64("i", "slot", F.lit(seed + 2)), F.col("shards")).alias("shard"),
         )
     )
