@@ -39,6 +39,8 @@ PER_BUCKET = 4096
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rounds of a Feistel network, and the most walks through it: all but one in 2**WALKS numbers end sooner, and that one is an error.
 ROUNDS, WALKS = 4, 64
+#: Walks before the rest of them are taken up.
+FEW = 4
 
 
 def n_words(text: Column) -> Column:
@@ -90,10 +92,15 @@ def permuted(x: Column, n: Column, bits: Column, key: Column) -> Column:
             left, right = right, left.bitwiseXOR(F.xxhash64(key, right, F.lit(r)).bitwiseAND(masks[r % 2]))
         return left * low + right
 
+    def walk(v: Column, steps: int) -> Column:
+        return F.aggregate(F.array(*[F.lit(k) for k in range(steps)]), v, lambda v, _: F.when(v < n, v).otherwise(network(v)))
+
+    def rest(v: Column) -> Column:  # one in 2**FEW numbers at most comes here
+        last = F.aggregate(F.array(walk(v, WALKS - FEW)), F.lit(-1).cast("long"), lambda _, v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a slot of the mix ended on no block")).cast("long")))
+        return F.when(v < n, v).otherwise(last)
+
     once = network(x)
-    steps = F.array(*[F.lit(k) for k in range(WALKS)])
-    walked = F.aggregate(steps, once, lambda v, _: F.when(v < n, v).otherwise(network(v)), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a slot of the mix ended on no block")).cast("long")))
-    return F.when(once < n, once).otherwise(walked)
+    return F.when(once < n, once).otherwise(F.transform(F.array(walk(once, FEW)), rest)[0])
 
 
 def _offsets(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -150,7 +157,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, see
         .withColumn("key", F.xxhash64("source", F.lit(seed + 1)))
         .where("n_slots > 0")
         .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / wide))))
-        .repartition("i", "run")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "run")  # by number, as Spark would put these few bytes into one task
         .withColumn("slot", F.explode(F.sequence(F.col("run") * wide, F.least((F.col("run") + 1) * wide, F.col("n_slots")) - 1)))
         .select(
             F.col("i").alias("source_no"), "slot",
