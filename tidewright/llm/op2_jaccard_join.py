@@ -115,17 +115,17 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             if b - a >= k:
                 yield r, np.unique(h[a : b - k + 1])
             elif b > a:
-                short = np.uint64(b - a)
+                short = np.array([b - a], np.uint64)  # of one element, as single numbers warn of overflow
                 for x in w[a:b]:
-                    short = mix(np.atleast_1d(short * _C[3] + x))[0]
-                yield r, np.array([short], np.uint64)
+                    short = mix(short * _C[3] + x)
+                yield r, short
             else:
                 yield r, np.zeros(0, np.uint64)
 
 
 def node_of(s: np.ndarray) -> int:
     """The number by which a set is known."""
-    return int(mix(np.array([mix(s).sum() + np.uint64(len(s))]))[0].astype(np.int64))
+    return int(mix(mix(s).sum(keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -163,9 +163,9 @@ class Keys:
             total, last = left[-1]
             if e + 1 >= len(s):
                 break
-            pick = [(x, j) for x, i in zip(total, last, strict=True) for j in range(i + 1, len(s))]
-            left.append((np.array([x - single[j] for x, j in pick], np.uint64), np.array([j for _, j in pick])))
-        return np.concatenate([mix(x ^ (_C[0] * np.uint64(2 * (len(s) - e) + 1))) for e, (x, _) in enumerate(left)])
+            at, j = np.array([(x, j) for x, i in enumerate(last) for j in range(i + 1, len(s))], np.int64).reshape(-1, 2).T
+            left.append((total[at] - single[j], j))
+        return np.concatenate([mix(x ^ (np.array(_C[:1]) * np.uint64(2 * (len(s) - e) + 1))) for e, (x, _) in enumerate(left)])
 
     def lists(self, s: np.ndarray, level: int) -> np.ndarray:
         """Hashes of the set's part in each block of a level; the level and the block belong to the key."""
@@ -440,7 +440,7 @@ def deduplicated(docs: DataFrame, k: int = 5, t: Fraction = Fraction(4, 5)) -> D
     chosen = first.select(F.col("f.doc_id").alias("_id"), F.col("f.text_key").alias("_key"))
     rest = groups.where("node is null and doc_id is not null").select("doc_id", "text_key").distinct()
     keep = written(chosen.unionByName(rest.toDF("_id", "_key")), "jaccard-chosen")
-    out = docs.join(keep, (docs.doc_id == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    out = docs.join(keep, (docs["doc_id"] == keep["_id"]) & (F.xxhash64(docs["text"]) == keep["_key"]), "left_semi")
     if not groups.groupBy("doc_id", "text_key").count().where("doc_id is not null and count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out.unionByName(docs.where("doc_id is null"))
