@@ -280,9 +280,9 @@ def merged_by_row(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple
 
 def _spans(group: pa.Table, buckets: int) -> pa.Table:
     """Spans to remove, of one shard, packed by bucket of rows."""
-    per_row = [len(x.as_buffer()) // WIDTH for x in group.column("segments").combine_chunks()]
+    per_row = [len(x.as_buffer()) // WIDTH for x in group.column("segments").cast(pa.large_binary()).combine_chunks()]
     base = np.concatenate([[0], np.cumsum(per_row)])
-    counts = [len(x.as_buffer()) // 4 for x in group.column("which").combine_chunks()]
+    counts = [len(x.as_buffer()) // 4 for x in group.column("which").cast(pa.large_binary()).combine_chunks()]
     which = joined(group.column("which"), np.int32) + np.repeat(base[:-1], counts)
     doc, place, reach = joined(group.column("doc"), np.int64), joined(group.column("place"), np.int32), joined(group.column("reach"), np.int32)
     row = joined(group.column("row"), np.int64)
