@@ -240,5 +240,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
     rejected = classify(docs.select("doc_id", "text", "lang"), labels).where("not keep").select(F.col("key").alias("_key"), F.col("lang").alias("_lang")).distinct()
-    at = (_key() == F.col("_key")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    at = (_key() == rejected["_key"]) & docs["lang"].eqNullSafe(rejected["_lang"])  # docs may have columns of these names
     return docs.join(rejected, at, "left_anti")
