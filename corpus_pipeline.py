@@ -2,6 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of documents.
+
+Defined results of the stages
+-----------------------------
+* a null or empty text is neither rejected nor contaminated nor a near duplicate, and has no words to mix: the first
+  three stages keep its document, the mix does not take it. Of the sharding stage every row has a shard.
+* nulls in other columns are values like any other; rows without an id stay rows of their own.
+* texts of any length are read whole.
+* rows that are equal in id and text are one document from the near duplicates on; of equal texts the smallest id stays.
+* a tie with a threshold of quality is kept; other ties go by id, then by a hash.
+* an empty table of documents gives an empty table; without labels that show trusted texts nothing is rejected, and
+  items without text contaminate nothing.
+* other columns are left as they are, whatever their names, but for those that sharding adds.
 """
 
 from __future__ import annotations
@@ -46,7 +58,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Perplexities and near duplicates are beyond SQL; the stages are tested against brute force.
+#: Perplexities and near duplicates are beyond SQL. Near duplicates, items and sizes are tested against brute force and
+#: perplexity against its definition; threshold and toxicity of the first stage by their behaviour only.
 ORACLE_SQL = None
 
 

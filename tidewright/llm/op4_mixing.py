@@ -26,10 +26,12 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import without, written
+from tidewright.llm.shared import written
 from tidewright.sources.tables import table
 
 #: Words of a block, words of an output shard, times that a block may be taken, and the seed.
@@ -210,7 +212,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         .agg(F.min("uses").alias("_low"), F.max("uses").alias("_high"), F.sum("n_words").alias("_seen"),
              F.array_sort(F.collect_list(F.struct("from_word", "n_words", "uses"))).alias("_cuts"))
     )
-    plain = without(docs, "_key", "_low", "_high", "_seen", "_cuts", "_time")
+    own = {"_key", "_low", "_high", "_seen", "_cuts", "_time"}
+    aside = uuid.uuid4().hex  # columns of these names have others meanwhile
+    plain = docs.toDF(*[f"{aside}{i}" if c.lower() in own else c for i, c in enumerate(docs.columns)])
     keyed = plain.withColumn("_key", F.xxhash64("doc_id", "text", F.lit(SEED)))
     out = keyed.join(cut.withColumnRenamed("key", "_key"), "_key")
     # Blocks that no slot takes are not among the cuts: then no time takes the document whole.
@@ -224,4 +228,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", text)
     if "n_chars" in plain.columns:
         out = out.withColumn("n_chars", F.when(F.col("_time") <= F.col("_low"), F.col("n_chars")).otherwise(F.length("text")).cast(plain.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in plain.columns])
+    return out.select(*[F.col(f"`{c}`") for c in plain.columns]).toDF(*docs.columns)
