@@ -56,6 +56,8 @@ from tidewright.sources.tables import table
 BITS, MOST_BITS, HEAD = 12, 1 << 31, 1 << 20
 #: Bytes of texts for each shard of counts; tokens that are counted or sent at once; bytes and rows of a unit.
 PER_SHARD, PORTION, UNIT, UNIT_ROWS = 1 << 25, 1 << 20, 1 << 22, 1 << 16
+#: Bits that number a partition's units; with 16 for a unit's rows, there is room for 2**27 partitions.
+UNIT_BITS = 20
 #: Smoothing of the word probabilities.
 ADD = 0.5
 SEGMENT = 64
@@ -464,11 +466,13 @@ def _by_shuffle(docs: DataFrame, model: Model) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        unit, size, rows = TaskContext.get().partitionId() << 28, 0, 0
+        unit, size, rows = TaskContext.get().partitionId() << UNIT_BITS, 0, 0
         for batch in batches:
             units = np.zeros(len(batch), np.int64)
             for r, n in enumerate(np.diff(bytes_of(batch.column(1))[1])):
                 if rows and (size + n > UNIT or rows >= UNIT_ROWS):
+                    if (unit + 1) >> UNIT_BITS != unit >> UNIT_BITS:
+                        raise OverflowError("a partition holds more units than there are numbers for")
                     unit, size, rows = unit + 1, 0, 0
                 units[r], size, rows = unit, size + int(n), rows + 1
             yield pa.record_batch([pa.array(units), batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), batch.column(2)], names=["unit", "id", "text", "held_out"])
