@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -103,3 +104,78 @@ def test_toxic_text_is_not_trusted_and_goes(spark):
     assert len(out) == len(keep) == 240
     assert not any(keep[i] for i, _, _ in toxic)
     assert sum(keep[i] for i, _, _ in clean) >= 190
+
+
+def rank_value(values, quantile):
+    return sorted(values)[max(math.ceil(quantile * len(values)), 1) - 1]
+
+
+def test_quantiles_equal_sorting(spark):
+    r = random.Random(5)
+    groups = {"en": [r.lognormvariate(2, 1) for _ in range(3000)], "de": [0.0] * 50, None: [float(r.randrange(4)) for _ in range(777)], "one": [7.5]}
+    groups["near"] = [3 + i * 1e-12 for i in range(500)]
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)], "of string, value double")
+    for quantile in (0.0, 0.37, 0.5, 0.99, 1.0):
+        want = {g: rank_value(vs, quantile) for g, vs in groups.items()}
+        assert {x.of: x.value for x in q.quantiles(rows.repartition(7), quantile).collect()} == want
+    assert q.quantiles(rows.limit(0), 0.5).count() == 0
+
+
+def test_thresholds_and_keep_equal_definition(spark):
+    """Everything that decides, computed again from the definitions: perplexity, quantiles, telling words."""
+    r = random.Random(6)
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randrange(2, 6))) for _ in range(40)]
+    docs, labels = [], []
+    for i in range(90):
+        text = r.choices(words, k=r.randrange(5, 15))
+        if i % 9 == 0:
+            text.append(r.choice(["Scum!", "scum, FOOL"]))
+        if i % 10 == 1:
+            text = ["#" + w + "|" for w in text]
+        docs.append((i, " ".join(text), ("en", "de", None)[i % 3]))
+        if i < 60:
+            labels.append((i, int(i % 10 != 1), int(i % 9 == 0)))
+    docs += [(90, None, "en"), (91, "", "de"), (92, docs[2][1], "xx"), (93, docs[2][1], "en"), (94, "zz qq " * 9, "xx")]
+    labels += [(93, 1, 0), (2, 0, 0)]
+    text, lang = {i: t for i, t, _ in docs}, {i: g for i, _, g in docs}
+    bad = {text[i] for i, _, toxic in labels if toxic}
+    trusted = [i for i in text if text[i] and text[i] not in bad and any(d == i and good and not toxic for d, good, toxic in labels)]
+    p = model({text[i] for i in trusted}, 2)
+    perplexity = {t: math.exp(-sum(math.log(p(g)) for g in grams(t, 2)) / len(grams(t, 2))) for t in set(text.values()) if t}
+    tokens = lambda t: {w for w in re.split(r"[\x00-/:-`{-\x7f]+", t.lower()) if w}
+    a, b = Counter(w for t in bad for w in tokens(t)), Counter(w for t in {text[i] for i in trusted} for w in tokens(t))
+    n_a, n_b = len(bad), len({text[i] for i in trusted})
+
+    def g2(w):
+        if a[w] * n_b <= b[w] * n_a:
+            return 0.0
+        seen, share = [a[w], b[w], n_a - a[w], n_b - b[w]], (a[w] + b[w]) / (n_a + n_b)
+        expected = [share * n_a, share * n_b, (1 - share) * n_a, (1 - share) * n_b]
+        return 2 * sum(s * math.log(s / e) for s, e in zip(seen, expected, strict=True) if s)
+
+    toxicity = lambda t: max((g2(w) for w in tokens(t)), default=0.0)
+    quantile, slack = 0.9, 1.1
+    most = rank_value([toxicity(text[i]) for i in trusted], quantile)
+    out = q.classify(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS + ", toxic int"), 2, quantile=quantile, slack=slack).collect()
+    assert sorted(x.doc_id for x in out) == sorted(text)
+    for x in out:
+        same = [perplexity[text[i]] for i in trusted if lang[i] == x.lang] or [perplexity[text[i]] for i in trusted]
+        assert x.threshold == pytest.approx(slack * rank_value(same, quantile))
+        t = text[x.doc_id]
+        if not t:
+            assert x.keep and x.perplexity is None
+        else:
+            assert x.perplexity == pytest.approx(perplexity[t])
+            assert x.keep == (perplexity[t] <= x.threshold and toxicity(t) <= most + 1e-9)
+    assert {x.keep for x in out} == {True, False}
+
+
+def test_text_longer_than_a_piece(spark):
+    r = random.Random(7)
+    text = "".join(r.choices("ab é", k=q.PIECE + 12_345))
+    assert len(text.encode()) > q.PIECE
+    rows = q.grams(spark.createDataFrame([(1, text)], "key long, text string"), 3).collect()
+    got = Counter()
+    for x in rows:
+        got[x.gram.to_bytes(3, "big")] += x.n
+    assert got == Counter(grams(text, 3))

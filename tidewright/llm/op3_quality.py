@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.shared import written
@@ -186,6 +186,36 @@ def toxicities(texts: DataFrame, telling: DataFrame) -> DataFrame:
     return _words(texts).join(_side(telling), "word").groupBy("key").agg(F.max("tells").alias("toxicity"))
 
 
+#: Bins to a unit of log(1 + value), and finer ones in each of them.
+BINS, FINER = 1 << 10, 1 << 16
+
+
+def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
+    """(of, value): for each group ``of`` of ``rows`` (of, value) its smallest value that the part ``quantile`` of its rows does not exceed.
+
+    Values are 0 or more; rows without one are left out. The rank is looked for among the counts of bins, then of finer
+    bins in the one that holds it, then of the values in that: exact at any size, and no window takes more than the bins.
+    """
+    counts = written(rows.where("value is not null").groupBy("of", "value").agg(F.count(F.lit(1)).alias("n")), "quality-values")
+    at = F.log1p("value") * BINS
+    finer = F.floor((at - F.floor(at)) * FINER)
+    rank = counts.groupBy("of").agg(F.greatest(F.ceil(F.sum("n") * F.lit(quantile)), F.lit(1)).alias("rank"))
+
+    def holding(counts: DataFrame, step: Column, rank: DataFrame) -> DataFrame:
+        # (of, at, rank): the first step at which a group's rank is reached, and the rank among that step's rows.
+        sums = counts.groupBy("of", step.alias("at")).agg(F.sum("n").alias("n"))
+        sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("of").orderBy("at")) - F.col("n"))
+        rank = rank.select(F.col("of").alias("whose"), "rank")
+        found = sums.join(rank, F.col("of").eqNullSafe(F.col("whose"))).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+        return found.select("of", "at", (F.col("rank") - F.col("before")).alias("rank"))
+
+    for step in (F.floor(at), finer):
+        rank = holding(counts, step, rank)
+        whose = rank.select(F.col("of").alias("whose"), F.col("at").alias("there"))
+        counts = counts.join(whose, F.col("of").eqNullSafe(F.col("whose")) & (step == F.col("there")), "left_semi")
+    return holding(counts, F.col("value"), rank).select("of", F.col("at").alias("value"))
+
+
 def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFrame, docs: int, quantile: float) -> DataFrame | None:
     """(key) of toxic texts of ``keyed`` (key, text); None if labels show none. ``bad``, ``trusted`` and ``first`` are keys."""
     some = written(bad.orderBy(F.xxhash64("key"), "key").limit(docs), "quality-toxic-keys")
@@ -195,7 +225,8 @@ def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFram
     telling = telling_words(texts(some), texts(first))
     # The threshold needs all words of trusted texts; all others only the few words that tell more than it.
     known = toxicities(keyed.join(trusted.select("key").distinct(), "key", "left_semi"), telling)
-    most = trusted.join(known, "key", "left").agg(F.percentile_approx(F.coalesce("toxicity", F.lit(0.0)), quantile, 10_000)).first()[0]
+    values = trusted.join(known, "key", "left").select(F.lit(0).alias("of"), F.coalesce("toxicity", F.lit(0.0)).alias("value"))
+    most = quantiles(values, quantile).first()["value"]
     return written(toxicities(keyed, written(telling.where(F.col("tells") > most), "quality-telling")).select("key"), "quality-toxic")
 
 
@@ -218,9 +249,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, train_docs:
     if scored.limit(1).isEmpty():
         scored = scored.limit(0)
     of = trusted.join(scored, "key")
-    exact = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = of.groupBy(F.col("lang").alias("of_lang")).agg(exact.alias("own"))
-    overall = of.agg(exact.alias("all")).first()["all"]
+    by_lang = quantiles(of.select(F.col("lang").alias("of"), F.col("perplexity").alias("value")), quantile).select(F.col("of").alias("of_lang"), F.col("value").alias("own"))
+    overall = quantiles(of.select(F.lit(0).alias("of"), F.col("perplexity").alias("value")), quantile).first()
+    overall = overall["value"] if overall else None
     out = ids.join(scored, "key", "left").join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     out = out.withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")) * slack)
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
