@@ -121,8 +121,10 @@ def test_quantiles_equal_sorting(spark):
     assert q.quantiles(rows.limit(0), 0.5).count() == 0
 
 
-def test_thresholds_and_keep_equal_definition(spark):
+@pytest.mark.parametrize("most", [q.BROADCAST_ROWS, 0])
+def test_thresholds_and_keep_equal_definition(spark, monkeypatch, most):
     """Everything that decides, computed again from the definitions: perplexity, quantiles, telling words."""
+    monkeypatch.setattr(q, "BROADCAST_ROWS", most)
     r = random.Random(6)
     words = ["".join(r.choice("aeinrst") for _ in range(r.randrange(2, 6))) for _ in range(40)]
     docs, labels = [], []

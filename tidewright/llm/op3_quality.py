@@ -133,8 +133,8 @@ def train(trusted: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataF
     return model
 
 
-#: Rows up to which a table of the model is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 200_000
+#: Rows, of two numbers, up to which a table of the model is broadcast (some 50 MB); a larger one is joined by shuffling.
+BROADCAST_ROWS = 1 << 20
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def quantiles(rows: DataFrame, quantile: float) -> DataFrame:
         rank = holding(counts, step, rank)
         whose = rank.select(F.col("of").alias("whose"), F.col("at").alias("there"))
         counts = counts.join(whose, F.col("of").eqNullSafe(F.col("whose")) & (step == F.col("there")), "left_semi")
-    return holding(counts, F.col("value"), rank).select("of", F.col("at").alias("value"))
+    return written(holding(counts, F.col("value"), rank).select("of", F.col("at").alias("value")), "quality-quantiles")
 
 
 def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFrame, docs: int, quantile: float) -> DataFrame | None:
@@ -223,10 +223,14 @@ def _toxic(keyed: DataFrame, bad: DataFrame, trusted: DataFrame, first: DataFram
         return None
     texts = lambda keys: written(keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]), "quality-labelled")
     telling = telling_words(texts(some), texts(first))
-    # The threshold needs all words of trusted texts; all others only the few words that tell more than it.
-    known = toxicities(keyed.join(trusted.select("key").distinct(), "key", "left_semi"), telling)
+    # The threshold needs all words of trusted texts, all others only the few words that tell more than it. Words that
+    # can be broadcast are looked up in all texts at once where these are read, so no text is shuffled.
+    at_once = telling.count() <= BROADCAST_ROWS
+    known = written(toxicities(keyed if at_once else keyed.join(trusted.select("key").distinct(), "key", "left_semi"), telling), "quality-toxicities")
     values = trusted.join(known, "key", "left").select(F.lit(0).alias("of"), F.coalesce("toxicity", F.lit(0.0)).alias("value"))
     most = quantiles(values, quantile).first()["value"]
+    if at_once:
+        return known.where(F.col("toxicity") > most).select("key")
     return written(toxicities(keyed, written(telling.where(F.col("tells") > most), "quality-telling")).select("key"), "quality-toxic")
 
 
