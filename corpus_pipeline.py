@@ -58,8 +58,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Perplexities and near duplicates are beyond SQL. Near duplicates, items and sizes are tested against brute force and
-#: perplexity against its definition; threshold and toxicity of the first stage by their behaviour only.
+#: Perplexities and near duplicates are beyond SQL. Near duplicates, items and sizes are tested against brute force;
+#: perplexity, thresholds and toxicity of the first stage against their definitions.
 ORACLE_SQL = None
 
 
