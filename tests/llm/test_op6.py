@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewright.llm import op6_substring_dedup as d
@@ -85,3 +86,15 @@ def test_rows_of_one_id_or_none_lose_their_own_bytes_only(spark):
     a, b = ("".join(f"{c}{i} " for i in range(40)) for c in "xy")
     rows = [(1, a), (2, b), (None, "front " * 3 + a), (None, b + "tail"), (None, "clean " + "".join(f"z{i} " for i in range(80))), (7, a + "end"), (7, "".join(f"q{i} " for i in range(80)) + b)]
     assert got(spark, rows) == brute(rows)
+
+
+def test_anchors_are_dealt_evenly():
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(40)]
+    batch = pa.record_batch([pa.array(range(40)), pa.array(texts), pa.array(range(40))], names=["doc_id", "text", "row"])
+    sizes = {}
+    for out in d._seen(64)(iter([batch])):
+        for k, h in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            sizes[k] = sizes.get(k, 0) + len(h) // 8
+    assert len(sizes) == 64
+    assert max(sizes.values()) < 2 * sum(sizes.values()) / 64

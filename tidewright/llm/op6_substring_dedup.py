@@ -56,7 +56,7 @@ SORTED, STEP = 1 << 19, 1 << 19
 #: Bytes of text whose anchors or segments a task holds at once.
 PORTION = 1 << 23
 #: Bytes of all texts for each shard of anchors, and for each bucket of rows in which spans are gathered.
-PER_SHARD, PER_BUCKET = 1 << 24, 1 << 26
+PER_SHARD, PER_BUCKET = 1 << 22, 1 << 26
 NO_ID = (1 << 63) - 1
 OUT = 255  # outside of the document; in no UTF-8 text
 
@@ -88,6 +88,11 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np
                 yield np.searchsorted(offs, place + at, "right") - 1, place + at, h
 
 
+def anchor_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each anchor. An anchor's hash is the smallest of many, so it is mixed again: most would lie in the first shards."""
+    return shard_of(mix(h), shards)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy()
 
@@ -114,7 +119,7 @@ def _seen(shards: int):
             new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             many = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new)
             h = h[new]
-            rows = list(packed(np.arange(len(h)), shard_of(h, shards), shards))
+            rows = list(packed(np.arange(len(h)), anchor_shard(h, shards), shards))
             yield pa.record_batch(
                 [pa.array([k for k, _ in rows], pa.int32()), pa.array([blob(h[p]) for _, p in rows], pa.binary()), pa.array([blob(h[p][many[p]]) for _, p in rows], pa.binary())],
                 names=["shard", "h", "many"],
@@ -153,7 +158,7 @@ class Filter:
         return out
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        own = shard_of(h, len(self.size))
+        own = anchor_shard(h, len(self.size))
         word, mask = self.places(h, self.size[own])
         return (self.words[self.start[own] + word] & mask) == mask
 
@@ -205,7 +210,7 @@ def _segments(shards: int, shared):
             reach = (place[last] - start).astype(np.int32)
             start = (start - offs[row]).astype(np.int32)
             out = []
-            for k, p in packed(np.arange(len(row)), shard_of(h, shards), shards):
+            for k, p in packed(np.arange(len(row)), anchor_shard(h, shards), shards):
                 local, at = np.unique(inv[p], return_inverse=True)
                 out.append((k, blob(segment[first[local]]), blob(at.astype(np.int32)), blob(ids[row[p]]), blob(keys[row[p]]), blob(start[p]), blob(reach[p])))
             del segment
@@ -327,7 +332,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(of, start, stop): packed spans of bytes to remove of each row (by key) that has any."""
     spark = docs.sparkSession
     size = text_bytes(docs)
-    shards, buckets = shards_of(spark, 8, size, PER_SHARD), shards_of(spark, 1, size, PER_BUCKET)
+    shards, buckets = shards_of(spark, 2, size, PER_SHARD), shards_of(spark, 1, size, PER_BUCKET)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row()).where(F.octet_length("text") >= LENGTH)
     seen = docs.mapInArrow(_seen(shards), "shard int, h binary, many binary")
     again = written(seen.groupBy("shard").applyInArrow(_repeated, "shard int, h binary, n long"), "substrings-anchors")
