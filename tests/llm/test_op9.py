@@ -85,3 +85,17 @@ def test_rows_of_one_id_with_different_vectors(spark):
 
 def test_beams_are_widened_before_a_scan():
     assert not d._scans(4 * d.BEAM, 10) and d._scans(16 * d.BEAM, 10) and not d._scans(16 * d.BEAM, 1 << 30)
+
+
+def test_audit_holds_few_cosines_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.standard_normal((700, 16)).astype(np.float32)
+    x[:200] = x[200:400] + np.float32(0.05) * r.standard_normal((200, 16)).astype(np.float32)
+    g, nodes = d.Graph(x), np.arange(700)
+    whole = d._audit(g, x, nodes, nodes)
+    assert sum(len(t) for _, t in whole) >= 200
+    sizes, unit = [], d._unit
+    monkeypatch.setattr(d, "COSINES", 7000)
+    monkeypatch.setattr(d, "_unit", lambda raw: sizes.append(len(raw)) or unit(raw))
+    assert d._audit(g, x, nodes, nodes) == whole
+    assert max(sizes) <= 10

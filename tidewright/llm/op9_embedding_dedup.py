@@ -46,7 +46,11 @@ from tidewright.llm.tokens import blob, mix
 from tidewright.sources.tables import table
 
 #: Least cosine; least shards and most nodes of one; queries of a block and of a task.
-LEAST, SHARDS, PER_SHARD, QUERIES, SLICE = 0.9, 6, 200_000, 512, 16_384
+LEAST, SHARDS, PER_SHARD, QUERIES, SLICE = 0.9, 6, 50_000, 512, 65_536
+#: Least slices, so that few nodes are searched by many tasks too, as long as each has ``QUERIES`` of them.
+SLICES = 4
+#: Cosines that are held at once.
+COSINES = 1 << 24
 #: Neighbours of a node above the ground level (twice as many on it), beams, nodes expanded at once.
 DEGREE, BEAM_BUILD, BEAM, EXPAND = 12, 48, 16, 4
 #: A scan of a shard of n nodes costs no more than a beam of n / SCAN, as it gathers no rows; only beams widened before give way to it.
@@ -208,7 +212,7 @@ class Graph:
         parts, todo, wide = [], np.arange(len(q)), ef
         while len(todo):
             again = []
-            step = max(1, min(QUERIES, (1 << 24) // (n + 1)))
+            step = max(1, min(QUERIES, COSINES // (n + 1)))
             for i in range(0, len(todo), step):
                 own = todo[i : i + step]
                 if _scans(wide, n):
@@ -264,7 +268,7 @@ def _built(group: pa.Table) -> pa.Table:
             "nodes": pa.array([blob(group.column("node").to_numpy())], pa.binary()),
             "copies": pa.array([blob(group.column("copies").to_numpy())], pa.binary()),
             "vectors": pa.array([blob(x)], pa.binary()),
-            "levels": pa.array([[blob(a) for level in g.levels for a in level]], pa.list_(pa.binary())),
+            "levels": pa.array([[blob(a.astype(np.int32)) for level in g.levels for a in level]], pa.list_(pa.binary())),
         }
     )
 
@@ -275,7 +279,9 @@ def _audit(g: Graph, x: np.ndarray, own: np.ndarray, nodes: np.ndarray) -> list[
     at, step = 0, FIRST
     while at < len(order) and (not out or seen < TRUE_LINKS):
         some = order[at : at + step]
-        i, j = np.nonzero(_unit(x[some]) @ g.x.T >= LEAST - 1e-4)
+        block = max(1, COSINES // len(g.x))
+        near = [np.stack(np.nonzero(_unit(x[some[k : k + block]]) @ g.x.T >= LEAST - 1e-4)) + [[k], [0]] for k in range(0, len(some), block)]
+        i, j = np.concatenate(near, axis=1)
         i, j = g._exact(x, some[i], j, LEAST)
         other = nodes[j] != own[i]
         i, j = i[other], j[other]
@@ -294,7 +300,7 @@ def _searched(ef: int):
             get = lambda c, kind: np.frombuffer(index.column(c)[0].as_py(), kind)
             nodes, copies = get("nodes", np.int64), get("copies", np.int64)
             dim = index.column("dim")[0].as_py()
-            flat = [np.frombuffer(v, np.int64) for v in index.column("levels")[0].as_py()]
+            flat = [np.frombuffer(v, np.int32) for v in index.column("levels")[0].as_py()]
             levels = [(x, y.reshape(len(x), -1)) for x, y in zip(flat[::2], flat[1::2], strict=True)]
             g = Graph(get("vectors", np.float32).reshape(-1, dim), levels)
             own = queries.column("node").to_numpy()
@@ -344,7 +350,7 @@ def near_embeddings(vectors: DataFrame, least_shards: int = SHARDS) -> DataFrame
         groups.select("node", "copies", "embedding").mapInArrow(as_bytes, "node long, copies long, vector binary").withColumn("dim", F.expr("cast(length(vector) / 4 as int)")), "vectors-nodes"
     )
     n = nodes.count()
-    shards, slices = max(least_shards, -(-n // PER_SHARD)), max(1, -(-n // SLICE))
+    shards, slices = max(least_shards, -(-n // PER_SHARD)), max(1, min(SLICES, n // QUERIES), -(-n // SLICE))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
     index = written(dealt.groupBy("dim", "shard").applyInArrow(_built, "dim int, shard int, nodes binary, copies binary, vectors binary, levels array<binary>"), "vectors-index")
     asked = nodes.withColumn("task", F.pmod(F.xxhash64("vector", F.lit(2)), F.lit(slices)).cast("int"))
