@@ -33,3 +33,13 @@ def test_every_name_with_sql_is_a_query():
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_phone_format_of_large_keys(spark, tmp_path):
+    keys = [1, 105_213, 105_214, 900_000, 200_000_000_000]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r.c_custkey: (r.phone, r.valid) for r in entry.queries()["phone_format"](spark, str(tmp_path)).collect()}
+    for k in keys:
+        q = str(7919 * k**3)
+        p = q[:11]
+        assert got[k] == (f"({p[:2]}) {p[2:7]}-{p[7:]}" if len(p) > 7 else f"({p[:2]}) {p[2:]}", 10 <= len(q) <= 11)

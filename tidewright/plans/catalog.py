@@ -254,7 +254,8 @@ def format_date(spark, d):
  else '(' || substr(p, 1, 2) || ') ' || substr(p, 3, 5) || '-' || substr(p, 8, 4) end as phone, length(q) between 10 and 11 as valid
  from (select c_custkey, left(q, 11) as p, q from (select c_custkey, (c_custkey * 7919 * c_custkey * c_custkey)::varchar as q from customer))""")
 def phone_format(spark, d):
-    raw = F.concat(F.lit("+ "), F.expr("cast(c_custkey * 7919 * c_custkey * c_custkey as string)"))
+    k = F.col("c_custkey").cast("decimal(12,0)")  # a product of 64 bits overflows from 105,214 on
+    raw = F.concat(F.lit("+ "), (k * k * k * F.lit(7919).cast("decimal(4,0)")).cast("decimal(38,0)").cast("string"))
     return table(spark, d, "customer").select("c_custkey", T.phone(raw).alias("phone"), T.phone_valid(raw).alias("valid"))
 
 
