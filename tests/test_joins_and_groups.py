@@ -125,3 +125,20 @@ def test_streaks_over_batches(spark, batch):
         assert U.streaks(df.limit(0), "k", "v", "n").count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("per_bin", [8, 60, 1 << 16])
+def test_overlap_totals_equal_sums_over_pairs(spark, monkeypatch, per_bin):
+    monkeypatch.setattr(I, "PER_BIN", per_bin)
+    rng = random.Random(per_bin)
+    left, right = some_spans(rng, 90), some_spans(rng, 150)
+    want = {}
+    for i, _, a, b in left + left[:5]:
+        for j, _, s, e in right:
+            if None not in (a, b, s, e) and a < b and s < e and a < e and s < b:
+                n, least, shared = want.get(i, (0, j, 0))
+                want[i] = (n + 1, min(least, j), shared + min(b, e) - max(a, s))
+    l, r = spark.createDataFrame(left + left[:5], SPAN), spark.createDataFrame(right, SPAN)
+    got = {x.id: (x.n, x.least, x.shared) for x in I.overlap_totals(l, r, "a", "b", "id", "id").collect()}
+    assert got == want
+    assert I.overlap_totals(l.limit(0), r, "a", "b", "id", "id").count() == 0 and I.overlap_totals(l, r.limit(0), "a", "b", "id", "id").count() == 0

@@ -226,9 +226,8 @@ def ext_span_overlap(spark, d):
     k = F.col("s_suppkey")
     a = F.lit(1_704_067_200_000_000) + k * 7919 % 2_592_000 * 1_000_000
     visits = table(spark, d, "supplier").select("s_suppkey", a.alias("a"), (a + (k % 13) * (k % 13) * 60_000_000).alias("b"))
-    met = intervals.overlapping(visits, _delivery_spans(spark, d), "a", "b")
-    shared = F.least("left.b", "right.b") - F.greatest("left.a", "right.a")
-    return met.groupBy(F.col("left.s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("orders"), F.min("right.o_orderkey").alias("first_order"), F.sum(shared).alias("shared_us"))
+    met = intervals.overlap_totals(visits, _delivery_spans(spark, d), "a", "b", "s_suppkey", "o_orderkey")
+    return met.select("s_suppkey", F.col("n").alias("orders"), F.col("least").alias("first_order"), F.col("shared").alias("shared_us"))
 
 
 @query("""select event_id, count(*) over w as rows, (sum(round(value * 100)::bigint) over w)::bigint as cents from events
