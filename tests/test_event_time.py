@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewright.operators import ordering
@@ -111,6 +112,15 @@ def test_changes_out_of_order_lose_nothing(spark):
     assert replay.replayed(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("member", ["long", "timestamp"])
+def test_members_of_one_bucket_are_replayed_each_for_itself(spark, monkeypatch, member):
+    monkeypatch.setattr(replay, "BUCKETS", 3)
+    who = (lambda k: k) if member == "long" else (lambda k: dt.datetime(2024, 1, 1, 0, 0, 0, k))
+    data = [(int(v == 1), "a", who(k), v, "toggle") for k in range(40) for v in range(1, 3 + k % 2)]  # the first change comes last
+    got = in_parts(split(spark, data, f"part int, list string, member {member}, version long, op string"), replay.replay_stream, "update")
+    assert {(r.member, r.version, r.present) for r in got.collect()} == {(who(k), 2 + k % 2, k % 2 == 1) if k % 2 else (who(k), 2, False) for k in range(40)}
+
+
 def test_every_delivery_is_the_result_at_that_point(spark):
     rng = random.Random(8)
     data = [(k * 4 // 200, k, rng.choice(["set", "set", "set", "delete"]), rng.choice(["a", "b", "c", None]), rng.randrange(50)) for k in range(200)]

@@ -3,7 +3,8 @@
 A client that writes back its own copy of a list loses what others wrote meanwhile. Here each change is a row
 of a changelog (list, member, version, op): ``toggle``, ``add`` or ``remove`` one member. Changes of different
 members commute, so order only matters within a (list, member), whose changes are numbered from 1 without gaps.
-State is keyed by both: a list with a third of all changes is spread over its members.
+State is kept in buckets by a hash of both: a list with a third of all changes is spread by its members, and Python
+is called once for a bucket and batch, not for each member.
 
 As a stream, a change that comes before its predecessors waits in the state until they have come; one that comes
 again is known by its version and does nothing. As a table, the last addition or removal and the number of
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 KEY = ("list", "member")
+#: Buckets of the state. A stream keeps the number that it began with.
+BUCKETS = 4096
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,26 +33,30 @@ def applied(present: bool, op: str) -> bool:
     return {"toggle": not present, "add": True, "remove": False}.get(op, present)
 
 
-class _Member(StatefulProcessor):
-    """One member of one list: whether it is in, the last version applied, and changes that wait for earlier ones."""
+class _Bucket(StatefulProcessor):
+    """The members of a bucket: of each whether it is in, the last version applied, and changes that wait for earlier ones."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "version long, present boolean, waiting string")
+        self.state = handle.getValueState("state", "members string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.state.get() or (0, False, "{}")
-        version, present = before[0], before[1]
-        waiting = {int(v): op for v, op in json.loads(before[2]).items()}
+        members, touched = json.loads((self.state.get() or ("{}",))[0]), {}
         for part in rows:
-            for v, op in zip(part["version"], part["op"], strict=True):
-                if pd.notna(v) and v > version:
-                    waiting[int(v)] = op
-        while version + 1 in waiting:
-            version += 1
-            present = applied(present, waiting.pop(version))
-        self.state.update((version, present, json.dumps(waiting)))
-        if version > before[0]:
-            yield pd.DataFrame({"list": [key[0]], "member": [key[1]], "version": [version], "present": [present]})
+            for of, v, op in zip(part["of"], part["version"], part["op"], strict=True):
+                member = members.setdefault(of, [0, False, {}])
+                if pd.notna(v) and v > member[0]:
+                    member[2][str(int(v))] = op
+                    touched[of] = member[0]
+        for of in touched:
+            version, present, waiting = members[of]
+            while str(version + 1) in waiting:
+                version += 1
+                present = applied(present, waiting.pop(str(version)))
+            members[of] = [version, present, waiting]
+        self.state.update((json.dumps(members),))
+        on = [of for of, before in touched.items() if members[of][0] > before]
+        if on:
+            yield pd.DataFrame({"of": on, "version": [members[of][0] for of in on], "present": [members[of][1] for of in on]})
 
     def close(self) -> None:
         pass
@@ -57,13 +65,14 @@ class _Member(StatefulProcessor):
 def replay_stream(changes: DataFrame) -> DataFrame:
     """(list, member, version, present) after each batch that brought a (list, member) forward; update mode.
 
-    ``transformWithState`` keeps its state in RocksDB, for which the session is set.
+    ``transformWithState`` keeps its state in RocksDB, for which the session is set. A call takes all changes of a bucket.
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
-    kinds = changes.schema
-    out = f"list {kinds['list'].dataType.simpleString()}, member {kinds['member'].dataType.simpleString()}, version long, present boolean"
-    return changes.select(*KEY, "version", "op").groupBy(*KEY).transformWithStateInPandas(_Member(), out, "update", "none")
+    kinds = ", ".join(f"{k} {changes.schema[k].dataType.simpleString()}" for k in KEY)
+    rows = changes.select(F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).alias("bucket"), F.to_json(F.struct(*KEY), _TIMES).alias("of"), F.col("version").cast("long").alias("version"), "op")
+    out = rows.groupBy("bucket").transformWithStateInPandas(_Bucket(), "of string, version long, present boolean", "update", "none")
+    return out.withColumn("of", F.from_json("of", kinds, _TIMES)).select(*[F.col("of")[k].alias(k) for k in KEY], "version", "present")
 
 
 def replayed(changes: DataFrame) -> DataFrame:
